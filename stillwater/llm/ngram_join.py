@@ -205,8 +205,8 @@ def similar_documents(docs: DataFrame, percent: int = 80, shingle: int = 5, text
     classes = real.groupBy("n", "sig1", "sig2").agg(F.min("id").alias("a"))
     same = real.join(classes, ["n", "sig1", "sig2"]).where("a <> id").select("a", F.col("id").alias("b"))
     whole = "over (partition by key)"
-    held = _keys(few, shingle, percent).selectExpr("key", "id", f"min(id) {whole} as lead", f"max(id) {whole} as last").where("lead < last")
-    held = written(held.select("key", "id", "lead"), "buckets")
+    held = _keys(few, shingle, percent).selectExpr("key", "id", f"min(id) {whole} as lead", f"max(id) {whole} as last", f"count(*) {whole} as k").where("lead < last")
+    held = written(held.select("key", "id", "lead", "k"), "buckets")
     stars = written(held.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "stars")
 
     def sifted(pairs: DataFrame) -> DataFrame:
@@ -219,12 +219,12 @@ def similar_documents(docs: DataFrame, percent: int = 80, shingle: int = 5, text
     links = written(_verified(sieve.where("not equal").select("a", "b"), few, shingle, percent), "links")
     edges = links.unionByName(same).unionByName(sieve.where("equal").select("a", "b"))
     comp = written(connected_components(edges), "components")
-    # what the stars left apart inside a bucket
-    apart = held.join(comp, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = apart.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo < hi and k > 2").select("key")
+    # what the stars left apart inside a bucket; in a bucket of two the star was the only pair
+    apart = held.where("k > 2").join(comp, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    apart = apart.selectExpr("*", f"min(c) {whole} as lo", f"max(c) {whole} as hi").where("lo < hi").drop("lo", "hi")
     fold = [f"({' ^ '.join(f'w{k + 4 * m}' for m in range(4))}) as v{k}" for k in range(4)]
     small = real.dropDuplicates(["id", "sig1", "sig2"]).selectExpr("id", "n", *fold)
-    rest = written(apart.join(mixed, "key").join(small, "id"), "apart")
+    rest = written(apart.join(small, "id"), "apart")
     cross = rest.alias("x").join(rest.alias("y"), F.expr(f"x.key = y.key and x.id < y.id and x.c <> y.c and {_near('x', 'y', percent, 4, 'v')}"))
     cross = cross.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     again = written(sifted(written(cross, "cross")), "sieve")

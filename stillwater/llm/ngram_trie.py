@@ -5,13 +5,13 @@ the trie holds all contexts that hash to it: a level of contexts, monotone
 pointers to where each context's successors begin, and the successors, sorted
 inside their context.  All three are monotone sequences in Elias-Fano form (low
 bytes in planes, high parts in a unary bit vector), and discounted probabilities
-and backoff weights are quantised to one byte; the levels lie in one
+and backoff weights are quantised to two bytes; the levels lie in one
 memory-mapped file.  A query finds its context by successor search and then its
 word by successor search inside that context's range.
 
 Distribution: texts are cut into blocks.  A block sends each shard its distinct
 n-grams once, with their training counts; a shard sums the counts of all blocks,
-builds its trie, and answers every block in the order it asked, one byte for an
+builds its trie, and answers every block in the order it asked, two bytes for an
 n-gram.  So no model is collected or broadcast, a hot word costs a row per block
 and shard, and what moves grows with the corpus.
 """
@@ -118,14 +118,14 @@ class EliasFano:
 
 
 class Codebook:
-    """One-byte codes for log10 values: 255 even steps between the extremes; code 0 means absent."""
+    """Two-byte codes for log10 values: 65,535 even steps between the extremes; code 0 means absent."""
 
     def __init__(self, values: np.ndarray):
         self.least = float(values.min()) if len(values) else 0.0
-        self.step = max(float(values.max()) - self.least, 1e-9) / 254 if len(values) else 1.0
+        self.step = max(float(values.max()) - self.least, 1e-9) / 65_534 if len(values) else 1.0
 
     def encode(self, values: np.ndarray) -> np.ndarray:
-        return (1 + np.rint((values - self.least) / self.step)).astype(np.uint8)
+        return (1 + np.rint((values - self.least) / self.step)).astype(np.uint16)
 
 
 class TrieLevel:
@@ -166,10 +166,10 @@ class TrieLevel:
         found = self.contexts.successor(contexts)
         near = np.minimum(found, max(0, self.contexts.n - 1))
         known = (found < self.contexts.n) & (self.contexts.get(near) == contexts) if self.contexts.n else np.zeros(len(contexts), bool)
-        backoff = np.where(known, self.backoff[near], 0).astype(np.uint8) if self.contexts.n else np.zeros(len(contexts), np.uint8)
+        backoff = np.where(known, self.backoff[near], 0).astype(np.uint16) if self.contexts.n else np.zeros(len(contexts), np.uint16)
         sizes = np.diff(np.concatenate((starts, [len(successors)])))
         c = np.repeat(near, sizes)
-        code = np.zeros(len(successors), np.uint8)
+        code = np.zeros(len(successors), np.uint16)
         ask = np.flatnonzero(np.repeat(known, sizes))
         if len(ask):
             query = c[ask].astype(np.uint64) << np.uint64(32) | successors[ask].astype(np.uint64)
