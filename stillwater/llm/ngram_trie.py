@@ -184,7 +184,7 @@ class TrieLevel:
 
 def _pack(*arrays: np.ndarray) -> bytes:
     head = np.array([len(arrays), *[x for a in arrays for x in (ord(a.dtype.char), len(a))]], "<i8")
-    return zlib.compress(head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 1)
+    return zlib.compress(head.tobytes() + b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"" for a in arrays), 1)
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
@@ -194,7 +194,7 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     at, out = 8 + 16 * n, []
     for kind, size in head.tolist():
         t = np.dtype(chr(kind))
-        out.append(np.frombuffer(raw, t, size, at))
+        out.append(np.frombuffer(raw, np.uint8, size * t.itemsize, at).reshape(t.itemsize, size).T.copy().view(t).reshape(size))
         at += size * t.itemsize
     return out
 
@@ -218,7 +218,9 @@ def _block(texts: pa.Array, train: np.ndarray, order: int, shards: int):
     rank = np.argsort(shard, kind="stable")
     place = np.empty(len(w), np.int64)
     place[rank] = np.arange(len(w))
-    maps.append(place[at].astype(np.uint32))
+    word = place[at]
+    if order == 1:
+        maps.append(word.astype(np.uint32))
     counts = np.bincount(at[learn], minlength=len(w))[rank].astype(np.uint32)
     for s, a, b in _runs(shard[rank]):
         queries.append((1, s, _pack(w[rank][a:b], counts[a:b])))
@@ -235,14 +237,18 @@ def _block(texts: pa.Array, train: np.ndarray, order: int, shards: int):
         cplace = np.empty(len(cs), np.int64)
         cplace[corder] = np.arange(len(cs))
         pairs, p_at = np.unique(cplace[c_at].astype(np.uint64) << np.uint64(32) | (tok & np.uint64(0xFFFFFFFF)), return_inverse=True)
-        maps += [p_at.astype(np.uint32)]
+        gram_word = np.zeros(len(pairs), np.uint32)
+        gram_word[p_at] = word
+        maps += [p_at.astype(np.uint32), gram_word]
         counts = np.bincount(p_at[learn], minlength=len(pairs)).astype(np.uint32)
         owner = (pairs >> np.uint64(32)).astype(np.int64)
         begin = np.searchsorted(owner, np.arange(len(cs) + 1))
-        maps += [owner.astype(np.uint32)]
+        maps += [np.diff(owner, prepend=0).astype(np.uint8)]
         for s, a, b in _runs(cshard[corder]):
             x, y = begin[a], begin[b]
             queries.append((level, s, _pack(cs[corder][a:b], (begin[a:b] - x).astype(np.uint32), (pairs[x:y] & np.uint64(0xFFFFFFFF)).astype(np.uint32), counts[x:y])))
+    if order == 2:  # sums need no order inside a text: sorted indices compress well
+        maps[0] = maps[0][np.lexsort((maps[0], np.repeat(np.arange(docs), n)))]
     return n, maps, queries
 
 
@@ -301,22 +307,29 @@ def score_texts(docs: DataFrame, train, order: int = 2, shards: int | None = Non
     kind = docs.schema[id_col].dataType.simpleString()
     few = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"), F.coalesce(train, F.lit(False)).alias("l"))
 
-    def gather(batches):
+    def blocks(batches):
         block = (TaskContext.get().partitionId() + 1) << 32
         for b in batches:
             for x, y in slices(b.column(1), block_bytes):
                 part, learn = b.slice(x, y - x), np.asarray(b.column(2).slice(x, y - x).to_numpy(zero_copy_only=False), bool)
-                n, maps, queries = _block(part.column(1), learn, order, shards)
-                held = pa.array(~learn)
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([_pack(n.astype(np.int64), *maps)], pa.binary()), pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type)), pa.array([held.to_pylist()], pa.list_(pa.bool_()))], names=names)
-                for a in range(0, len(queries), 64):
-                    q = queries[a : a + 64]
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(q)), pa.array([k[0] for k in q], pa.int32()), pa.array([k[1] for k in q], pa.int32()), pa.array([k[2] for k in q], pa.binary()), pa.nulls(len(q), pa.list_(part.column(0).type)), pa.nulls(len(q), pa.list_(pa.bool_()))], names=names)
+                yield block, part, learn, _block(part.column(1), learn, order, shards)
                 block += 1
 
-    names = ["block", "level", "shard", "blob", "ids", "held"]
-    asked = written(few.mapInArrow(gather, f"block long, level int, shard int, blob binary, ids array<{kind}>, held array<boolean>"), "ngrams")
-    told = asked.where("level > 0").select("block", "level", "shard", "blob").groupBy("shard").applyInPandas(_answer, "block long, level int, shard int, blob binary")
+    def ask(batches):
+        for block, _, _, (_, _, queries) in blocks(batches):
+            for a in range(0, len(queries), 64):
+                q = queries[a : a + 64]
+                cols = [pa.array([block] * len(q)), pa.array([k[0] for k in q], pa.int32()), pa.array([k[1] for k in q], pa.int32()), pa.array([k[2] for k in q], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["block", "level", "shard", "blob"])
+
+    def keep(batches):
+        for block, part, learn, (n, maps, _) in blocks(batches):
+            cols = [pa.array([block]), pa.array([_pack(n.astype(np.int64), *maps)], pa.binary()), pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type)), pa.array([(~learn).tolist()], pa.list_(pa.bool_()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["block", "blob", "ids", "held"])
+
+    # the blocks are cut twice from the same scan rather than kept: `finish` refuses answers that do not fit them
+    asked = few.mapInArrow(ask, "block long, level int, shard int, blob binary")
+    told = asked.groupBy("shard").applyInPandas(_answer, "block long, level int, shard int, blob binary")
     told = written(told, "answers")
     total = np.zeros(3, np.int64)
     for r in told.where("block = -1").select("blob").collect():  # one row of three sums a shard
@@ -327,22 +340,26 @@ def score_texts(docs: DataFrame, train, order: int = 2, shards: int | None = Non
         n, *maps = _unpack(d["blob"].iloc[0])
         a = a.sort_values(["level", "shard"])
         c = np.concatenate([_unpack(b)[0] for b in a[a["level"] == 1]["blob"]])
+        token_word = maps[0] if order == 1 else maps[1][maps[0]]
         unknown = min(max(once, 1) / (size + 1), 0.5) if size else 1.0
-        base = np.log10((c + 0.1) / (size + 0.1 * (kinds + 1)))[maps[0]]
-        p = np.where(c > 0, (1 - unknown) * c / max(size, 1), unknown)[maps[0]]
+        base = np.log10((c + 0.1) / (size + 0.1 * (kinds + 1)))[token_word]
+        p = np.where(c > 0, (1 - unknown) * c / max(size, 1), unknown)[token_word]
         for level in range(2, order + 1):
-            gram, owner = maps[2 * level - 3], maps[2 * level - 2]
+            gram, word, step = maps[3 * level - 6 : 3 * level - 3]
+            owner = np.cumsum(step, dtype=np.int64)
             prob, weight = [], []
             for b in a[a["level"] == level]["blob"]:
                 code, backoff, books = _unpack(b)
                 prob.append(np.where(code > 0, 10 ** (books[0] + (code - 1.0) * books[1]), 0.0))
                 weight.append(np.where(backoff > 0, 10 ** (books[2] + (backoff - 1.0) * books[3]), 1.0))
             prob, weight = np.concatenate(prob), np.concatenate(weight)
+            if len(prob) != len(word) or len(weight) != int(owner[-1]) + 1:
+                raise ValueError("the rows changed between two reads of the input")
             p = np.minimum(1.0, prob[gram] + weight[owner[gram]] * p)
         starts = np.cumsum(n) - n
-        return pd.DataFrame({"doc_id": list(d["ids"].iloc[0]), "held_out": list(d["held"].iloc[0]), "n_tokens": n, "n_known": np.add.reduceat((c > 0)[maps[0]].astype(np.int64), starts), "train_tokens": size, "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(np.log10(p), starts)})
+        return pd.DataFrame({"doc_id": list(d["ids"].iloc[0]), "held_out": list(d["held"].iloc[0]), "n_tokens": n, "n_known": np.add.reduceat((c > 0)[token_word].astype(np.int64), starts), "train_tokens": size, "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(np.log10(p), starts)})
 
-    texts = asked.where("level = 0").select("block", "blob", "ids", "held")
+    texts = few.mapInArrow(keep, f"block long, blob binary, ids array<{kind}>, held array<boolean>")
     answers = told.where("block >= 0")
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
