@@ -223,16 +223,42 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", i
     made = written(made, "contexts")
     # equal contexts are one: per map task first, then over all
     kinds = made.groupBy("h", "key", "o", "n").agg(F.first("c").alias("c"), F.count("*").alias("m"))
-    parts = made.select("h", "key", "o", "n").distinct().groupBy("h").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"))
-    kinds = kinds.join(parts, "h").withColumn("own", F.pmod("key", "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    parts = made.select("h", "key", "o", "n").distinct().groupBy("h").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"), F.count("*").alias("kinds"))
+    kinds = written(kinds.join(parts, "h"), "kinds")
+    # one context, however often: all its windows are repeated if it occurs twice
+    alone = kinds.where("kinds = 1 and m > 1").select(F.col("h").alias("h2"), F.col("key").alias("key2"), F.col("o").alias("o2"), F.col("n").alias("n2"), F.array(F.lit(0), F.col("n") - 1).alias("runs"))
+    kinds = kinds.where("kinds > 1").withColumn("own", F.pmod("key", "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     kinds = kinds.withColumn("pair", F.least("own", "other") * F.col("parts") + F.greatest("own", "other"))
 
-    def solve(d: pd.DataFrame) -> pd.DataFrame:
-        runs = resolve_group(d["c"].tolist(), d["o"].tolist(), d["m"].tolist(), length, d["n"].tolist())
-        rows = [(h, k, o, n, [x for r in rs for x in r]) for h, k, o, n, rs in zip(d["h"], d["key"], d["o"], d["n"], runs) if rs]
-        return pd.DataFrame(rows, columns=["h2", "key2", "o2", "n2", "runs"])
+    def solve(batches):
+        """Groups lie together, sorted; a group may go on in the next batch."""
+        names, last, held = ["h2", "key2", "o2", "n2", "runs"], None, []
 
-    solved = written(kinds.groupBy("h", "pair").applyInPandas(solve, "h2 long, key2 long, o2 int, n2 int, runs array<int>"), "solved")
+        def done(rows):
+            h, key, o, n, m, c = zip(*rows)
+            runs = resolve_group(list(c), list(o), list(m), length, list(n))
+            return [(*r[:4], [x for run in rs for x in run]) for r, rs in zip(rows, runs) if rs]
+
+        out = []
+        for b in batches:
+            cols = [b.column(k).to_pylist() for k in range(7)]
+            for row in zip(*cols):
+                if row[:2] != last:
+                    if held:
+                        out += done(held)
+                    last, held = row[:2], []
+                held.append((row[0], *row[2:]))
+            if len(out) > 2000:
+                yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=names).astype({"o2": "int32", "n2": "int32"}), pa.schema([("h2", pa.int64()), ("key2", pa.int64()), ("o2", pa.int32()), ("n2", pa.int32()), ("runs", pa.list_(pa.int32()))]), preserve_index=False)
+                out = []
+        if held:
+            out += done(held)
+        if out:
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=names).astype({"o2": "int32", "n2": "int32"}), pa.schema([("h2", pa.int64()), ("key2", pa.int64()), ("o2", pa.int32()), ("n2", pa.int32()), ("runs", pa.list_(pa.int32()))]), preserve_index=False)
+
+    grouped = kinds.repartition("h", "pair").sortWithinPartitions("h", "pair").select("h", "pair", "key", "o", "n", "m", "c")
+    solved = grouped.mapInArrow(solve, "h2 long, key2 long, o2 int, n2 int, runs array<int>").unionByName(alone)
+    solved = written(solved, "solved")
     marks = made.drop("c").join(solved, F.expr("h = h2 and key = key2 and o = o2 and n = n2"))
     marks = marks.select(F.col("d").alias("d2"), F.col("s").alias("s2"), F.transform("runs", lambda r: r + F.col("a")).alias("runs"))
     marks = written(marks.groupBy("d2", "s2").agg(F.flatten(F.collect_list("runs")).alias("runs")), "marks")
