@@ -59,9 +59,10 @@ def _dominated(items: list[int], waste: int, left: dict[int, int], used: dict[in
     return False
 
 
-def fillings(left: dict[int, int], largest: int, capacity: int, width: int, steps: int = 4000) -> list[tuple[int, Pattern]]:
+def fillings(left: dict[int, int], largest: int, capacity: int, width: int, steps: int = 400) -> list[tuple[int, Pattern]]:
     """Undominated fillings that hold `largest`, as (waste, pattern), least waste first, at most `width`."""
     lengths = sorted((k for k in left if k <= capacity - largest or k == largest), reverse=True)
+    spot = {k: i for i, k in enumerate(lengths)}
     found: dict[Pattern, int] = {}
     budget = [steps]
 
@@ -71,7 +72,7 @@ def fillings(left: dict[int, int], largest: int, capacity: int, width: int, step
         budget[0] -= 1
         maximal = True
         if left.get(room, 0) > use.get(room, 0) and room <= lengths[at if at < len(lengths) else -1]:
-            tries = [lengths.index(room)] if room in left else []
+            tries = [spot[room]] if room in spot else []
         else:
             tries = range(at, len(lengths))
         for i in tries:
@@ -100,15 +101,18 @@ def fillings(left: dict[int, int], largest: int, capacity: int, width: int, step
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """The better of total size and Martello-Toth's L2 over all thresholds up to half a bin."""
-    total = sum(k * n for k, n in counts.items())
-    best = -(-total // capacity)
-    for t in sorted(k for k in counts if 2 * k <= capacity) or [0]:
-        big = sum(n for k, n in counts.items() if k > capacity - t)
-        mid = sum(n for k, n in counts.items() if capacity / 2 < k <= capacity - t)
-        midroom = sum((capacity - k) * n for k, n in counts.items() if capacity / 2 < k <= capacity - t)
-        small = sum(k * n for k, n in counts.items() if t <= k <= capacity / 2)
-        best = max(best, big + mid + max(0, -(-(small - midroom) // capacity)))
-    return max(best, sum(n for k, n in counts.items() if 2 * k > capacity))
+    n = np.zeros(capacity + 1, np.int64)
+    for k, m in counts.items():
+        n[k] = m
+    size = n * np.arange(capacity + 1)
+    many, long = np.concatenate(([0], np.cumsum(n))), np.concatenate(([0], np.cumsum(size)))  # of lengths below k
+    half = capacity // 2 + 1
+    t = np.arange(1, capacity // 2 + 1)
+    mid = many[capacity - t + 1] - many[half]
+    room = capacity * mid - (long[capacity - t + 1] - long[half])
+    small = long[half] - long[t]
+    best = many[capacity + 1] - many[capacity - t + 1] + mid + np.maximum(0, -(-(small - room) // capacity))
+    return int(max(-(-size.sum() // capacity), many[capacity + 1] - many[half], *best[:]))
 
 
 def pack_histogram(counts: dict[int, int], capacity: int, node_limit: int = 2000, width: int = 8, exact_items: int = 48) -> list[tuple[Pattern, int]]:
@@ -130,7 +134,7 @@ def pack_histogram(counts: dict[int, int], capacity: int, node_limit: int = 2000
                 state.update(bins=bins, plan=list(plan))
             return
         state["nodes"] -= 1
-        if -(-(total + waste) // capacity) >= state["bins"] or bins + lower_bound(left, capacity) >= state["bins"]:
+        if -(-(total + waste) // capacity) >= state["bins"] or bins - (-sum(k * n for k, n in left.items()) // capacity) >= state["bins"]:
             return
         single = sum(left.values()) <= exact_items
         for more, pattern in fillings(left, max(left), capacity, width if not single else 8 * width):
