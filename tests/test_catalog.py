@@ -7,7 +7,7 @@ from stillwater.plans import catalog
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_query_equals_oracle(spark, oracle, same, name):
     same(catalog.QUERIES[name](spark, SF).toPandas(), oracle(catalog.SQL[name], SF))
 
