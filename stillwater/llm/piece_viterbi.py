@@ -13,7 +13,9 @@ by a bounded memo.
 
 from __future__ import annotations
 
+import math
 import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -27,10 +29,25 @@ from .common import table
 SPACE = "▁"
 
 
+class _Memo(dict):
+    """part -> ids as bytes, for parts behind `prefix`; long parts are not kept, and a full memo is emptied."""
+
+    def __init__(self, ids_of, prefix: str, most: int):
+        self.ids_of, self.prefix, self.most = ids_of, prefix, most
+
+    def __missing__(self, part: str) -> bytes:
+        got = self.ids_of(self.prefix + part)
+        if len(part) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[part] = got
+        return got
+
+
 class PieceModel:
     """Pieces and scores of a SentencePiece file: encode(text) -> ids, decode(ids) -> text."""
 
-    def __init__(self, path: str | None = None, memo: int = 1 << 17):
+    def __init__(self, path: str | None = None, memo: int = 1 << 18):
         import sentencepiece
 
         if path is None:
@@ -47,35 +64,48 @@ class PieceModel:
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in special}
         self.longest = max(map(len, self.ids), default=1)
         self.penalty = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10
+        # every prefix of a piece; what is no piece itself can only be passed through
+        self.node = {p[:k]: -math.inf for p in self.ids for k in range(1, len(p))} | {p: self.scores[i] for p, i in self.ids.items()}
         inner = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.cut_at_space = not any(a != SPACE and b == SPACE for a, b in inner)
         self.cut_at_line = not any("\n" in x for x in inner)
         self.parts = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
-        self.memo: dict[str, bytes] = {}
-        self.memo_size = memo
+        self.spaced, self.bare = _Memo(self._bytes_of, SPACE, memo), _Memo(self._bytes_of, "", memo)
+        self.is_byte = np.zeros(len(self.pieces), bool)
+        self.is_byte[list(self.byte_of)] = True
 
     def _ids_of(self, piece: str) -> list[int]:
         if piece in self.ids:
             return [self.ids[piece]]
         return [self.byte.get(b, self.unknown) for b in piece.encode("utf-8", "replace")]
 
+    def _bytes_of(self, part: str) -> bytes:
+        ids = [i for some in self.stream(part) for i in some]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def stream(self, chars: Iterable[str]) -> Iterator[list[int]]:
         """Commit ids as soon as all surviving paths agree; ties go to the longer last piece."""
-        window, base, best, back = "", 0, [0.0], [0]  # best[k], back[k]: of boundary base + k
-        ids, scores, longest = self.ids, self.scores, self.longest
+        window, best, back, live = "", [0.0], [0], []  # best[k], back[k]: of boundary k; live: starts that a piece may still pass
+        node, penalty, longest = self.node, self.penalty, self.longest
         for c in chars:
             window += c
             n = len(window)
-            top, frm = best[n - 1] + self.penalty, n - 1
-            for k in range(max(0, n - longest), n):
-                i = ids.get(window[k:n])
-                if i is not None and (best[k] + scores[i] > top or (best[k] + scores[i] == top and k <= frm)):
-                    top, frm = best[k] + scores[i], k
+            top, frm, still = best[n - 1] + penalty, n - 1, []
+            live.append(n - 1)
+            for k in live:
+                score = node.get(window[k:n])
+                if score is None:
+                    continue
+                still.append(k)
+                score += best[k]
+                if score > top or (score == top and k <= frm):
+                    top, frm = score, k
+            live = still
             best.append(top)
             back.append(frm)
             if n >= 2 * longest:
                 through: set[int] | None = None
-                for end in range(n - longest + 1, n + 1):
+                for end in (*live, n):
                     path, k = {end}, end
                     while k:
                         k = back[k]
@@ -84,9 +114,10 @@ class PieceModel:
                 cut = max(through)
                 if cut:
                     yield self._path(window, back, cut)
-                    window, base = window[cut:], base + cut
+                    window = window[cut:]
                     best = [b - best[cut] for b in best[cut:]]
                     back = [max(0, b - cut) for b in back[cut:]]
+                    live = [k - cut for k in live]
         if window:
             yield self._path(window, back, len(window))
 
@@ -104,22 +135,20 @@ class PieceModel:
         body = SPACE + text.replace(" ", SPACE)
         if not (self.cut_at_space and self.cut_at_line):
             return np.array([i for ids in self.stream(body) for i in ids], np.uint32)
-        out, memo = [], self.memo
-        for part in self.parts.findall(body):
-            got = memo.get(part)
-            if got is None:
-                got = np.array([i for ids in self.stream(part) for i in ids], "<u4").tobytes()
-                if len(part) <= 64:
-                    if len(memo) >= self.memo_size:
-                        memo.clear()
-                    memo[part] = got
-            out.append(got)
-        return np.frombuffer(b"".join(out), "<u4")
+        if text[0] == " " or "  " in text or SPACE in text:  # runs of blanks are one part
+            return np.frombuffer(b"".join(map(self.bare.__getitem__, self.parts.findall(body))), "<u4")
+        out, part = [], self.spaced.__getitem__
+        for k, line in enumerate(text.split("\n")):
+            first, *rest = line.split(" ")
+            out.append((self.bare[first] if k else self.spaced[first]) + b"".join(map(part, rest)))
+        return np.frombuffer(self.bare["\n"].join(out), "<u4")
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids; runs of byte pieces are read as UTF-8."""
-        ids = list(ids)
-        if any(i in self.byte_of for i in ids):
+        ids = np.asarray(ids if isinstance(ids, np.ndarray) else list(ids), np.int64)
+        bytewise = len(ids) and self.is_byte[ids].any()
+        ids = ids.tolist()
+        if bytewise:
             out, raw = [], bytearray()
             for i in ids:
                 if i in self.byte_of:
@@ -160,7 +189,7 @@ def decode_pieces(rows: DataFrame, ids_col: str = "piece_ids", path: str | None
 
     def decode(ids: pd.Series) -> pd.Series:
         model = piece_model(path)
-        return pd.Series([model.decode(x.tolist()) if x is not None and len(x) else "" for x in ids])
+        return pd.Series([model.decode(x) if x is not None and len(x) else "" for x in ids])
 
     return rows.withColumn("decoded", F.pandas_udf(decode, "string")(F.col(ids_col)))
 
@@ -173,7 +202,7 @@ def op6_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
         for t in texts:
             t = t if isinstance(t, str) else ""
             ids = model.encode(t)
-            rows.append((len(ids), zlib.crc32(ids.tobytes()), model.decode(ids.tolist()) == t))
+            rows.append((len(ids), zlib.crc32(ids.tobytes()), model.decode(ids) == t))
         return pd.DataFrame(rows, columns=["n_pieces", "ids_crc32", "round_trip"])
 
     said = F.pandas_udf(digest, "n_pieces long, ids_crc32 long, round_trip boolean")
