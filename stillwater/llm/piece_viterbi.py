@@ -47,7 +47,7 @@ class _Memo(dict):
 class PieceModel:
     """Pieces and scores of a SentencePiece file: encode(text) -> ids, decode(ids) -> text."""
 
-    def __init__(self, path: str | None = None, memo: int = 1 << 18):
+    def __init__(self, path: str | None = None, memo: int = 1 << 19):
         import sentencepiece
 
         if path is None:
@@ -66,6 +66,12 @@ class PieceModel:
         self.penalty = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10
         # every prefix of a piece; what is no piece itself can only be passed through
         self.node = {p[:k]: -math.inf for p in self.ids for k in range(1, len(p))} | {p: self.scores[i] for p, i in self.ids.items()}
+        self.trie: dict = {}  # char -> (score, what may follow)
+        for p in sorted(self.node, key=len):
+            at = self.trie
+            for c in p[:-1]:
+                at = at[c][1]
+            at[p[-1]] = (self.node[p], {})
         inner = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.cut_at_space = not any(a != SPACE and b == SPACE for a, b in inner)
         self.cut_at_line = not any("\n" in x for x in inner)
@@ -80,9 +86,28 @@ class PieceModel:
         return [self.byte.get(b, self.unknown) for b in piece.encode("utf-8", "replace")]
 
     def _bytes_of(self, part: str) -> bytes:
-        ids = [i for some in self.stream(part) for i in some]
+        ids = self._lattice(part) if len(part) < 2 * self.longest else [i for some in self.stream(part) for i in some]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _lattice(self, part: str) -> list[int]:
+        """What stream() gives for a part that ends before its window is full: the same lattice, pushed forward."""
+        n, trie, penalty = len(part), self.trie, self.penalty
+        best, back = [0.0, *[-math.inf] * n], [0] * (n + 1)
+        for k in range(n):
+            b, follow = best[k], trie
+            if b + penalty > best[k + 1]:
+                best[k + 1], back[k + 1] = b + penalty, k
+            end = k
+            for c in part[k:]:
+                hit = follow.get(c)
+                if hit is None:
+                    break
+                end += 1
+                score, follow = hit
+                if b + score > best[end]:
+                    best[end], back[end] = b + score, k
+        return self._path(part, back, n)
+
     def stream(self, chars: Iterable[str]) -> Iterator[list[int]]:
         """Commit ids as soon as all surviving paths agree; ties go to the longer last piece."""
         window, best, back, live = "", [0.0], [0], []  # best[k], back[k]: of boundary k; live: starts that a piece may still pass
