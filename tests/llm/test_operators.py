@@ -261,3 +261,18 @@ def test_pipeline(spark):
     left = {r.doc_id for r in d.collect()}
     groups = near_groups(texts)
     assert len({groups[k][1] for k in left}) == len(left)  # one of each group of near copies
+
+
+def test_short_parts_get_the_streamed_ids():
+    """The forward lattice and the word memo give what the stream gives, blanks, line ends and uncovered characters included."""
+    import random
+
+    from stillwater.llm.piece_viterbi import SPACE, PieceModel
+
+    model, dice = PieceModel(memo=50), random.Random(11)
+    texts = ["", " a", " ", "\n", "a\n", "\na", " \n a", "a  b", "a \nb", "x" * 3000, "漢字 é" * 5]
+    texts += ["".join(dice.choice(" \n" + SPACE + "aetnos漢é") for _ in range(dice.randrange(40))) for _ in range(800)]
+    for text in texts:
+        parts = model.parts.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        assert model.encode(text).tolist() == [i for part in parts for ids in model.stream(part) for i in ids]
+        assert SPACE in text or model.decode(model.encode(text)) == text
