@@ -276,3 +276,10 @@ def test_short_parts_get_the_streamed_ids():
         parts = model.parts.findall(SPACE + text.replace(" ", SPACE)) if text else []
         assert model.encode(text).tolist() == [i for part in parts for ids in model.stream(part) for i in ids]
         assert SPACE in text or model.decode(model.encode(text)) == text
+
+
+def test_packing_search_reaches_a_leaf_past_many_lengths():
+    """2,200 bins of two lengths that fill each other, then six items that best fit puts in three bins and that fill two."""
+    counts = Counter({k: 1 for a in range(20_001, 22_201) for k in (a, 40_000 - a)}) + Counter({16_000: 2, 12_000: 4})
+    assert sum(t for _, t in packing.best_fit_decreasing(counts, 40_000)) == 2203
+    assert sum(t for _, t in packing.pack_histogram(counts, 40_000)) == 2202
