@@ -23,6 +23,33 @@ def by_step(score: str, name: str = "steps", source: str = "scores") -> str:
     )
 
 
+#: Paired bootstrap: bootstrap.py runs it on Spark and draws the same series; here all of it is SQL, for the oracle.
+REPLICATES, PRIME = 500, 2147483647
+MIXES = ((48271, 69621, 1), (16807, 1, 31), (39373, 742938285, 630360016), (62089911, 950706376, 1226874159))
+IDS = "ids as (select id, cast(row_number() over (order by id) - 1 as bigint) as k, count(*) over () as n from (select distinct id from scores) i)"
+DELTAS = (
+    "lines as (select 'overall' as bucket union all select 't<=50' union all select '50<t<=150' union all select '150<t<=400' union all select 't>400'), "
+    "dl as (select rep, coalesce(bucket, 'overall') as bucket, sum(ub) / sum(w) - sum(ua) / sum(w) as delta from us group by grouping sets ((rep, bucket), (rep)) having sum(w) > 0), "
+    "ci as (select l.bucket, max(case when rep = 0 then delta end) as point, {pct}(case when rep > 0 then delta end, 0.025) as low, {pct}(case when rep > 0 then delta end, 0.975) as high, avg(case when rep > 0 then delta end) as mean, "
+    "stddev_samp(case when rep > 0 then delta end) as sd, count(case when rep > 0 then delta end) as n from lines l left join dl on l.bucket = dl.bucket group by l.bucket)"
+)
+INTERVALS = "select bucket, round(point, 6) as point_delta, round(low, 6) as low, round(high, 6) as high, round(mean, 6) as mean_delta, round(case when n = 1 then 0e0 else sd end, 6) as sd_delta, n, low > 0 or high < 0 as excludes_zero from ci"
+
+
+def bootstrap_ctes() -> str:
+    digits = "digit as (" + " union all ".join(f"select cast({i} as bigint) as v" for i in range(10)) + ")"
+    mixed = f"m0 as (select rep, k, n, (rep * 1000003 + k * 7919 + 12345) % {PRIME} as h from rp cross join ids)"
+    for i, (a, b, c) in enumerate(MIXES):
+        mixed += f", m{i + 1} as (select rep, k, n, (h * h % {PRIME} * {a} + rep * {b} + k * {c}) % {PRIME} as h from m{i})"
+    return (
+        f"{IDS}, {digits}, rp as (select a.v * 100 + b.v * 10 + c.v + 1 as rep from digit a cross join digit b cross join digit c where a.v * 100 + b.v * 10 + c.v < {REPLICATES}), {mixed}, "
+        f"draw as (select rep, h % n as k, count(*) as mult from m{len(MIXES)} group by rep, h % n union all select 0, k, 1 from ids), "
+        "bt as (select d.rep, s.t, s.bucket, s.y, s.score_a, s.score_b, d.mult, cast(d.mult * (1 - s.y) as double) as x from scores s join ids i on s.id = i.id join draw d on i.k = d.k), "
+        "won as (select rep, t, bucket, y, mult, sum(x) over (partition by rep, t order by score_a) - sum(x) over (partition by rep, t, score_a) / 2e0 as ra, sum(x) over (partition by rep, t order by score_b) - sum(x) over (partition by rep, t, score_b) / 2e0 as rb from bt), "
+        "us as (select rep, t, bucket, sum(y * mult * ra) as ua, sum(y * mult * rb) as ub, cast(sum(y * mult) as double) * cast(sum((1 - y) * mult) as double) as w from won group by rep, t, bucket), " + DELTAS
+    )
+
+
 QUERIES: dict[str, tuple[str, str]] = {
     "ts_auc": (by_step("score_a"), "select round(sum(w * auc) / sum(w), 6) as ts_auc, count(*) as n_steps from steps"),
     "ts_auc_or_half": (by_step("score_b"), "select coalesce(round(sum(w * auc) / sum(w), 6), 0.5e0) as ts_auc from steps"),
@@ -44,16 +71,7 @@ QUERIES: dict[str, tuple[str, str]] = {
     "kfold_assign": ("meta as (select id, max(y) as hb, case when max(y) = 1 then least(cast(floor(3e0 * min(case when y = 1 then t end) / max(t)) as int), 2) else -1 end as tb from scores group by id)", "select id, hb as has_break, tb as tau_bucket, cast((row_number() over (partition by hb, tb order by (id * 2654435761) % 1000003, id) - 1) % 5 as int) as fold from meta"),
     "score_histogram": ("", "select bucket, y, least(cast(floor(score_a * 30) as int), 29) as bin, count(*) as n from scores group by bucket, y, least(cast(floor(score_a * 30) as int), 29)"),
     "paired_compare": (by_step("score_a", "sa") + ", " + by_step("score_b", "sb"), "select a.bucket, round(sum(b.w * b.auc) / sum(b.w) - sum(a.w * a.auc) / sum(a.w), 6) as delta, count(*) as n_steps from sa a join sb b on a.t = b.t group by a.bucket"),
-    "bootstrap_ci": (
-        "draw as (select r.rep, s.id, cast((s.id * 7919 + r.rep * 104729 + s.id * r.rep * 31) % 3 as int) as mult from (select distinct id from scores) s cross join (select 1 as rep union all select 2 union all select 3 union all select 4 union all select 5 union all select 6 union all select 7 union all select 8) r), "
-        "bt as (select d.rep, s.t, s.y, s.score_a, s.score_b, d.mult from scores s join draw d on s.id = d.id where d.mult > 0), "
-        + ", ".join(
-            f"b{k}_r as (select rep, t, y, mult, sum(mult) over (partition by rep, t order by {c}) - sum(mult) over (partition by rep, t, {c}) + (sum(mult) over (partition by rep, t, {c}) + 1) / 2e0 as r from bt), "
-            f"b{k} as (select rep, sum(rp - np * (np + 1) / 2e0) / sum(np * nn) as auc from (select rep, t, sum(case when y = 1 then mult * r else 0e0 end) as rp, cast(sum(y * mult) as double) as np, cast(sum((1 - y) * mult) as double) as nn from b{k}_r group by rep, t) q where np > 0 and nn > 0 group by rep)"
-            for k, c in (("a", "score_a"), ("b", "score_b"))
-        ),
-        "select round({pct}(b.auc - a.auc, 0.025), 6) as low, round({pct}(b.auc - a.auc, 0.975), 6) as high, round(avg(b.auc - a.auc), 6) as mean_delta, count(*) as n from ba a join bb b on a.rep = b.rep",
-    ),
+    "bootstrap_ci": (bootstrap_ctes(), INTERVALS),
     "seed_spread": (by_step("score_a", "sa") + ", " + by_step("score_b", "sb") + ", both2 as (select bucket, sum(w * auc) / sum(w) as v from sa group by bucket union all select bucket, sum(w * auc) / sum(w) as v from sb group by bucket)", "select bucket, round(avg(v), 6) as mean_auc, round(stddev_samp(v), 6) as sd_auc, count(*) as n from both2 group by bucket"),
     "xs_redundancy": ("xc as (select t, corr(score_a, score_b) as c, count(*) as n, stddev_pop(score_a) as sa, stddev_pop(score_b) as sb from scores group by t)", "select round(max(abs(c)), 6) as max_corr, case when max(abs(c)) < 0.90 then 'distinct' when max(abs(c)) < 0.97 then 'close' else 'redundant' end as verdict from xc where n >= 10 and sa >= 1e-12 and sb >= 1e-12"),
     "trajectory_stats": ("tm as (select t, avg(score_a) as m, {pct}(score_a, 0.5) as md from scores group by t)", "select round(min(md), 6) as min_median, round(max(md), 6) as max_median, round(regr_slope(m, cast(t as double)), 9) as slope, count(*) as n_steps from tm"),

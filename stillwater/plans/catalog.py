@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stillwater.functions.kernels import PART, cum, r6
-from stillwater.operators import evaluation
+from stillwater.operators import bootstrap, evaluation
 from stillwater.operators import families as f
 from stillwater.operators import optional, recursive
 from stillwater.plans import scoring
@@ -85,5 +85,5 @@ def _query(name: str, more: str, body: str) -> Callable[[SparkSession, str], Dat
 
 
 _ALL = _statements()
-QUERIES = {name: _query(name, *parts) for name, parts in (_ALL | optional.statements("spark")).items()} | recursive.QUERIES | scoring.QUERIES
+QUERIES = {name: _query(name, *parts) for name, parts in (_ALL | optional.statements("spark")).items()} | {"bootstrap_ci": bootstrap.bootstrap_ci} | recursive.QUERIES | scoring.QUERIES
 SQL = {name: panels.text(body, "duckdb", more) for name, (more, body) in (_ALL | optional.statements("duckdb")).items()}
