@@ -365,4 +365,4 @@ def score_texts(docs: DataFrame, train, order: int = 2, shards: int | None = Non
 
 
 def op1_elias_fano_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_texts(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 10 != 0)
+    return score_texts(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 10 != 0, order=3)

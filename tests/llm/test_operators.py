@@ -283,3 +283,27 @@ def test_packing_search_reaches_a_leaf_past_many_lengths():
     counts = Counter({k: 1 for a in range(20_001, 22_201) for k in (a, 40_000 - a)}) + Counter({16_000: 2, 12_000: 4})
     assert sum(t for _, t in packing.best_fit_decreasing(counts, 40_000)) == 2203
     assert sum(t for _, t in packing.pack_histogram(counts, 40_000)) == 2202
+
+
+def test_registered_trie_scores_trigrams(spark):
+    texts = {r.doc_id: [*words(r.text), "\0"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    learn = [ws for k, ws in texts.items() if zlib.crc32(str(k).encode()) % 10]
+    one = Counter(w for ws in learn for w in ws)
+    n = sum(one.values())
+    unk = sum(m == 1 for m in one.values()) / (n + 1)
+    grams = {m: Counter(g for ws in learn for g in zip(*[["^"] * (m - 1 - k) + ws for k in range(m)])) for m in (2, 3)}
+    total, kinds = Counter(), Counter()
+    for c in grams.values():
+        for g, m in c.items():
+            total[g[:-1]] += m
+            kinds[g[:-1]] += 1
+    got = ngram_trie.op1_elias_fano_trie(spark, SF).toPandas().set_index("doc_id").score
+    for k, ws in texts.items():
+        s = 0.0
+        for a, b, w in zip(["^", "^", *ws], ["^", *ws], ws):
+            p = (1 - unk) * one[w] / n if one[w] else unk
+            for g in ((b, w), (a, b, w)):
+                if total[g[:-1]]:
+                    p = max(grams[len(g)][g] - 0.95, 0) / total[g[:-1]] + 0.95 * kinds[g[:-1]] / total[g[:-1]] * p
+            s += math.log10(p)
+        assert got[k] == pytest.approx(s, rel=0.02)
