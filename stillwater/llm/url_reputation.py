@@ -56,9 +56,12 @@ def _weight(df: DataFrame) -> DataFrame:
     return df.withColumn("w", F.when(v > 0, F.least(F.greatest(m * (1 - m) / v - 1, F.lit(1.0)), F.lit(1000.0))).otherwise(2.0))
 
 
-def host_reputation(outcomes: DataFrame, z: float = 1.645, two_label=TWO_LABEL_SUFFIXES) -> DataFrame:
+def host_reputation(outcomes: DataFrame, z: float = 1.645, two_label=TWO_LABEL_SUFFIXES, others: DataFrame | None = None) -> DataFrame:
     """outcomes(host, bad 0/1) -> host, n, bad, mean, lower, upper of the posterior bad rate.
 
+    others (host): hosts to judge as well; one without outcomes has n = 0 and the
+    prior of its domain, of its suffix where the domain is new, or of the corpus
+    where both are.  They change no prior; without any outcomes their bounds are 0 and 1.
     Rows with a null host or outcome are ignored.  Counts per host are
     aggregated before every shuffle, so a hot host costs a row per task.
     """
@@ -71,7 +74,15 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645, two_label=TWO_LABEL_S
     s = s.select("suffix", ((F.col("sb") + F.col("w") * F.col("pm")) / (F.col("sn") + F.col("w"))).alias("sm"), "sv")
     d = domains.withColumnRenamed("v", "dv").join(s, "suffix").withColumn("pm", F.col("sm")).withColumn("v", F.col("sv"))
     d = _weight(d).select("domain", ((F.col("db") + F.col("w") * F.col("pm")) / (F.col("dn") + F.col("w"))).alias("pm"), F.col("dv").alias("v"))
-    h = _weight(hosts.select("host", "domain", "n", "bad").join(d, "domain"))
+    h = hosts.select("host", "domain", "n", "bad").join(d, "domain")
+    if others is not None:
+        new = others.where("host is not null").select("host").distinct().join(hosts.select("host"), "host", "left_anti")
+        new = new.withColumn("domain", domain_of(F.col("host"), two_label)).withColumn("suffix", suffix_of(F.col("host"), two_label))
+        new = new.join(d.select("domain", F.struct("pm", "v").alias("of_domain")), "domain", "left").join(s.select("suffix", F.struct(F.col("sm").alias("pm"), F.col("sv").alias("v")).alias("of_suffix")), "suffix", "left")
+        corpus = whole.select(F.struct(((F.col("ab") + 0.5) / (F.col("an") + 1.0)).alias("pm"), "v").alias("of_corpus"))
+        new = new.crossJoin(F.broadcast(corpus)).withColumn("prior", F.coalesce("of_domain", "of_suffix", "of_corpus"))
+        h = h.unionByName(new.select("host", "domain", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bad"), "prior.pm", "prior.v"))
+    h = _weight(h)
     a, b = F.col("bad") + F.col("w") * F.col("pm"), F.col("n") - F.col("bad") + F.col("w") * (1 - F.col("pm"))
     h = h.withColumn("mean", a / (a + b)).withColumn("sd", F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))))
     return h.select("host", "n", "bad", "mean", F.greatest(F.lit(0.0), F.col("mean") - z * F.col("sd")).alias("lower"), F.least(F.lit(1.0), F.col("mean") + z * F.col("sd")).alias("upper"))
@@ -82,14 +93,15 @@ def judge_urls(pages: DataFrame, rules=RULES, outcomes: DataFrame | None = None,
 
     outcomes (host, bad): labelled pages; where none are given, the pages that a
     rule judges are the labelled ones (block: bad).  A host without labelled
-    pages is allowed.  A null url has an empty host and path and no rule.  Rows
+    pages is judged by the prior of its domain, suffix or corpus.  A null url has
+    an empty host and path and no rule, and is allowed: it names no host.  Rows
     that repeat are judged each; other columns of `pages` are ignored.
     """
     host, path = split_url(F.col(url_col))
     rows = apply_rules(pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")), rules)
     if outcomes is None:
         outcomes = rows.where("rule_verdict is not null").select("host", (F.col("rule_verdict") == "block").cast("int").alias("bad"))
-    known = host_reputation(outcomes, z).select("host", F.col("lower").alias("bad_lower"))
+    known = host_reputation(outcomes, z, others=rows.where("host <> ''")).select("host", F.col("lower").alias("bad_lower"))
     own = F.when(F.col("bad_lower") > block_above, "block").otherwise("allow")
     out = rows.join(known, "host", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", own).alias("verdict"))

@@ -307,3 +307,24 @@ def test_registered_trie_scores_trigrams(spark):
                     p = max(grams[len(g)][g] - 0.95, 0) / total[g[:-1]] + 0.95 * kinds[g[:-1]] / total[g[:-1]] * p
             s += math.log10(p)
         assert got[k] == pytest.approx(s, rel=0.02)
+
+
+def test_unlabelled_hosts_are_judged_by_their_parents_prior(spark, oracle, same):
+    urls = [f"http://a.evil.com/de/{i}" for i in range(50)] + [f"http://ok{i % 9}.net/x" for i in range(9)] + ["http://b.evil.com/x", "http://new.com/x", "http://x.zz/", "no url", None]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id int, url string")
+    got = {u: r.verdict for u, r in zip(urls, sorted(url_reputation.judge_urls(pages).collect(), key=lambda r: r.page_id))}
+    assert got["http://b.evil.com/x"] == "block" and got["no url"] == got[None] == "allow"
+    bad = [("s.evil.net", 1)] * 50 + [("t.evil.net", 1)] * 40 + [("ok.good.net", 0)] * 50 + [("a.b.org", 0)] * 5
+    outcomes = spark.createDataFrame(bad, "host string, bad int")
+    others = spark.createDataFrame([("new.evil.net",), ("s.evil.net",), ("a.fresh.net",), ("a.b.zz",), (None,)], "host string")
+    plain = {r.host: r for r in url_reputation.host_reputation(outcomes).collect()}
+    both = {r.host: r for r in url_reputation.host_reputation(outcomes, others=others).collect()}
+    assert len(both) == len(plain) + 3 and all(both[h] == r for h, r in plain.items())
+    # net: 90 of 140 bad, org 0 of 5; rates of suffixes and domains give the priors' weights
+    whole, rates = 90.5 / 146, (90 / 140, 0.0)
+    w = max(whole * (1 - whole) / np.var(rates) - 1, 1.0)
+    net = (90 + w * whole) / (140 + w)
+    v = max(net * (1 - net) / np.var([1.0, 0.0]) - 1, 1.0)
+    assert both["a.b.zz"].mean == pytest.approx(whole) and both["a.fresh.net"].mean == pytest.approx(net)
+    assert both["new.evil.net"].mean == pytest.approx((90 + v * net) / (90 + v)) and both["new.evil.net"].n == 0
+    assert url_reputation.host_reputation(outcomes.where("false"), others=others).where("mean is not null or lower > 0 or upper < 1").count() == 0
