@@ -91,10 +91,11 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
 def keep_first(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of `docs` that stay; of rows that repeat an id and a text, one.  Columns stay as they are."""
-    stay = exact_dedup(docs, text_col, id_col).where("kept").groupBy(F.col("doc_id").alias("_stay")).agg(F.count("*").alias("_n"))
-    marked = docs.join(stay, docs[id_col].eqNullSafe(stay["_stay"]), "left").where("_n is not null")
-    once = marked.where("_n = 1").drop("_stay", "_n")
-    again = marked.where("_n > 1").drop("_stay", "_n").dropDuplicates([id_col])
+    stay = exact_dedup(docs, text_col, id_col).where("kept").groupBy(F.col("doc_id").alias("_stay"), F.col("text_sha256").alias("_hash")).agg(F.count("*").alias("_n"))
+    own = docs.withColumn("_own", F.sha2(normalised(F.col(text_col)), 256))  # the id alone does not say which text stays
+    marked = own.join(stay, own[id_col].eqNullSafe(stay["_stay"]) & (own["_own"] == stay["_hash"]), "left").where("_n is not null")
+    once = marked.where("_n = 1").select(*docs.columns)
+    again = marked.where("_n > 1").dropDuplicates([id_col, "_own"]).select(*docs.columns)
     return once.unionByName(again)
 
 

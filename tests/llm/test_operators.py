@@ -328,3 +328,10 @@ def test_unlabelled_hosts_are_judged_by_their_parents_prior(spark, oracle, same)
     assert both["a.b.zz"].mean == pytest.approx(whole) and both["a.fresh.net"].mean == pytest.approx(net)
     assert both["new.evil.net"].mean == pytest.approx((90 + v * net) / (90 + v)) and both["new.evil.net"].n == 0
     assert url_reputation.host_reputation(outcomes.where("false"), others=others).where("mean is not null or lower > 0 or upper < 1").count() == 0
+
+
+def test_keep_first_keeps_each_text_of_a_shared_id(spark):
+    rows = [(1, "a"), (1, "b"), (1, "b"), (2, "a"), (None, "c"), (None, "d"), (None, "d"), (None, "a"), (3, "e"), (3, "a"), (4, None), (4, "")]
+    got = exact_dedup.keep_first(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n int"))
+    assert got.columns == ["doc_id", "text", "n"]
+    assert sorted((r.doc_id or 0, (r.text or "").strip()) for r in got.collect()) == [(0, "c"), (0, "d"), (1, "a"), (1, "b"), (3, "e"), (4, "")]
