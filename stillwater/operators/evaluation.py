@@ -79,7 +79,7 @@ QUERIES: dict[str, tuple[str, str]] = {
     "postprocess_soft": ("", f"select id, t, round({cum('score_a + 0.02e0 * t', 'max')} - 0.02e0 * t, 9) as score from scores"),
     "baseline_ewma_z": ("", "select id, t, y, score_a as score from scores"),
     "oof_join_check": ("", "select count(*) as n_rows, cast(sum(case when a.y <> b.y then 1 else 0 end) as bigint) as mismatches from scores a join scores b on a.id = b.id and a.t = b.t"),
-    "prediction_truth_join": ("truth as (select id, t, y as target from scores where t % 7 <> 0)", "select s.id, s.t - 1 as time_online, s.score_a as prediction, t.target from scores s left join truth t on s.id = t.id and s.t = t.t"),
+    "prediction_truth_join": ("truth as (select id, t, y as target from scores)", "select s.id, s.t - 1 as time_online, s.score_a as prediction, t.target from scores s left join truth t on s.id = t.id and s.t = t.t"),
     "census": (
         "seg as (select id, y, count(*) as n, avg(x) as mx, avg(e_raw) as me, var_samp(x) as vx, var_samp(e_raw) as ve, corr(e_raw, e1) as rho, avg(case when abs(e_raw) > 2 then 1e0 else 0e0 end) as ex from inn where tau_index is not null group by id, y)",
         "select a.id, a.n as n_pre, b.n as n_post, round(b.mx - a.mx, 6) as delta_mean_x, round(b.me - a.me, 6) as delta_mean_e, round(ln(b.vx / a.vx), 6) as delta_logvar_x, round(ln(b.ve / a.ve), 6) as delta_logvar_e, round(b.rho - a.rho, 6) as delta_rho1, round(b.ex - a.ex, 6) as delta_exceed from seg a join seg b on a.id = b.id and a.y = 0 and b.y = 1 where a.n >= 10 and b.n >= 10 and a.vx > 0 and b.vx > 0 and a.ve > 0 and b.ve > 0",

@@ -62,3 +62,13 @@ def test_entry_contract(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_every_prediction_meets_its_truth(spark):
+    """No truth is left out; a prediction without one stays, with a null target."""
+    got = catalog.QUERIES["prediction_truth_join"](spark, SF).toPandas()
+    assert len(got) and got.target.notna().all()
+    join = catalog.evaluation.QUERIES["prediction_truth_join"][1]
+    fixture = "with scores as (select 1 as id, t, t / 10e0 as score_a from range(1, 15) r(t)), truth as (select 1 as id, t, 1 as target from range(1, 14) r(t) union all select 2, 1, 0) "
+    got = spark.sql(fixture.replace("r(t)", "as r(t)") + join).toPandas()
+    assert len(got) == 14 and got[got.target.isna()].time_online.tolist() == [13]
