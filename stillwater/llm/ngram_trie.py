@@ -200,7 +200,7 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
 
 
 def _block(texts: pa.Array, train: np.ndarray, order: int, shards: int):
-    """(n_tokens, token -> word, per level token -> n-gram, queries [(level, shard, blob)], sizes for the answers)."""
+    """(n_tokens, token -> word, per level token -> n-gram, tokens whose word their bigram does not tell, queries [(level, shard, blob)], sizes for the answers)."""
     _, _, _, h, first = words(texts)
     docs = len(train)
     n = np.diff(first) + 1
@@ -240,6 +240,8 @@ def _block(texts: pa.Array, train: np.ndarray, order: int, shards: int):
         gram_word = np.zeros(len(pairs), np.uint32)
         gram_word[p_at] = word
         maps += [p_at.astype(np.uint32), gram_word]
+        if level == 2:
+            other = gram_word[p_at] != word  # tokens whose key another word of the same context shares
         counts = np.bincount(p_at[learn], minlength=len(pairs)).astype(np.uint32)
         owner = (pairs >> np.uint64(32)).astype(np.int64)
         begin = np.searchsorted(owner, np.arange(len(cs) + 1))
@@ -248,7 +250,10 @@ def _block(texts: pa.Array, train: np.ndarray, order: int, shards: int):
             x, y = begin[a], begin[b]
             queries.append((level, s, _pack(cs[corder][a:b], (begin[a:b] - x).astype(np.uint32), (pairs[x:y] & np.uint64(0xFFFFFFFF)).astype(np.uint32), counts[x:y])))
     if order == 2:  # sums need no order inside a text: sorted indices compress well
-        maps[0] = maps[0][np.lexsort((maps[0], np.repeat(np.arange(docs), n)))]
+        by_gram = np.lexsort((maps[0], np.repeat(np.arange(docs), n)))
+        maps[0], other, word = maps[0][by_gram], other[by_gram], word[by_gram]
+    if order > 1:
+        maps += [np.flatnonzero(other), word[other].astype(np.uint32)]
     return n, maps, queries
 
 
@@ -341,6 +346,8 @@ def score_texts(docs: DataFrame, train, order: int = 2, shards: int | None = Non
         a = a.sort_values(["level", "shard"])
         c = np.concatenate([_unpack(b)[0] for b in a[a["level"] == 1]["blob"]])
         token_word = maps[0] if order == 1 else maps[1][maps[0]]
+        if order > 1:
+            token_word[maps[-2]] = maps[-1]
         unknown = min(max(once, 1) / (size + 1), 0.5) if size else 1.0
         base = np.log10((c + 0.1) / (size + 0.1 * (kinds + 1)))[token_word]
         p = np.where(c > 0, (1 - unknown) * c / max(size, 1), unknown)[token_word]

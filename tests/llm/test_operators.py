@@ -335,3 +335,20 @@ def test_keep_first_keeps_each_text_of_a_shared_id(spark):
     got = exact_dedup.keep_first(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n int"))
     assert got.columns == ["doc_id", "text", "n"]
     assert sorted((r.doc_id or 0, (r.text or "").strip()) for r in got.collect()) == [(0, "c"), (0, "d"), (1, "a"), (1, "b"), (3, "e"), (4, "")]
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_words_that_share_a_trie_key_are_counted_apart(spark, order):
+    import pyarrow as pa
+
+    names = [f"w{i}" for i in range(400_000)]
+    h = np.asarray(ngram_trie.words(pa.array([" ".join(names)]))[3], np.uint64) & np.uint64(0xFFFFFFFF)
+    at = np.argsort(h, kind="stable")
+    k = np.flatnonzero(h[at][1:] == h[at][:-1])[0]
+    a, b = names[at[k]], names[at[k + 1]]
+    for x, y in ((a, b), (b, a)):
+        docs = spark.createDataFrame([(1, f"the {x}"), (2, f"z q the {y} end")], "doc_id long, text string").coalesce(1)
+        got = {r.doc_id: r for r in ngram_trie.score_texts(docs, F.col("doc_id") == 1, order=order).collect()}
+        assert (got[1].n_known, got[2].n_known) == (3, 2)
+        seen, new = math.log10(1.1 / 3.4), math.log10(0.1 / 3.4)
+        assert got[1].base_score == pytest.approx(3 * seen) and got[2].base_score == pytest.approx(2 * seen + 4 * new)
