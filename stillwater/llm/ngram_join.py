@@ -5,16 +5,23 @@ similarity is at least s differ in at most d = (1 - s) / (1 + s) * (|A| + |B|)
 elements.  XOR-hashing elements into a sketch flips one cell per element, so the
 number of unlike cells never exceeds the size of the symmetric difference, and
 
-* per band of sizes, a sketch with more than d cells has a cell that agrees
+* per band of sizes, a sketch with more than d cells has cells that agree
   (pigeonhole).  The cells are the join keys; a document whose cells are empty
   too often to leave a full one to agree gives its empty cells as keys as well.
+* a document with d + 1 + m full cells agrees in m + 1 of them at least, so it
+  leaves out its m most frequent ones (by how many documents hold the cell, ties
+  by key): of the cells that two documents agree in, the rarest stays in both.
+  A passage that many documents share fills frequent cells and makes no pair.
 * a one-bit sketch of 1,024 cells refuses pairs whose Hamming distance passes d.
 
 Pairs that are left are verified by their sets.  Documents with equal sets are
 one class and only meet through one of them.  A key gives a star (its smallest
 document with each other), not all pairs; what the verified stars do not join is
 then compared across components only, so no link is lost and a group of n near
-copies costs about n comparisons per key.
+copies costs about n comparisons per key.  Two documents that share many keys are
+made a pair at one of them: each carries its first key under several random
+orders, and where the first keys of both agree under one, that key alone pairs
+them.
 """
 
 from __future__ import annotations
@@ -30,6 +37,7 @@ from .common import connected_components, table, written
 from .wordhash import mix, slices, words
 
 WORDS_OF_SKETCH = 16
+ORDERS = 8  # random orders of keys under which a document's first key is kept
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -57,8 +65,8 @@ def shingle_sets(texts: pa.Array, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
 class Bands:
     """Bands of set sizes by factors of 1/s.  Sets that can link are in one band or in neighbours, so band j's sketch serves bands j and j - 1."""
 
-    def __init__(self, percent: int):
-        self.percent, self.ratio, self.cache = percent, 100 / percent, {}
+    def __init__(self, percent: int, spare: float = 0.25):
+        self.percent, self.ratio, self.spare, self.cache = percent, 100 / percent, spare, {}
         self.edges = [1]
         while self.edges[-1] < 1 << 40:
             self.edges.append(max(self.edges[-1] + 1, math.floor(self.edges[-1] * self.ratio) + 1))
@@ -67,20 +75,20 @@ class Bands:
         return int(np.searchsorted(self.edges, size, side="right")) - 1
 
     def cells(self, j: int) -> tuple[int, int]:
-        """(largest difference of two sets, cells) of band j: more cells than that, and room for the empty ones of most sets."""
+        """(largest difference d of two sets, cells) of band j: more cells than d, a share of d to leave out, and room for the empty ones of most sets."""
         if j not in self.cache:
             large = self.edges[j + 1] - 1
             small = self.edges[max(0, j - 1)]
             d = (100 - self.percent) * 2 * large // (100 + self.percent)
-            p = d + 1
+            p = d + 1 + math.ceil(self.spare * d)
             while p < 4 * d + 8 and p - d - 1 < (e := p * math.exp(-small / p)) + 2 * math.sqrt(e):
                 p += 1
             self.cache[j] = (d, p)
         return self.cache[j]
 
 
-def cell_keys(elements: np.ndarray, bands: Bands) -> np.ndarray:
-    """The join keys of one set: the cells of its own band's sketch and of the next band's."""
+def cell_keys(elements: np.ndarray, bands: Bands) -> list[tuple[np.ndarray, int]]:
+    """The join keys of one set, (cells, how many of them it may leave out): of its own band's sketch and of the next band's."""
     out, own = [], bands.band(len(elements))
     for j in (own, own + 1):
         d, p = bands.cells(j)
@@ -89,12 +97,13 @@ def cell_keys(elements: np.ndarray, bands: Bands) -> np.ndarray:
         c = cell[order]
         at = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
         value, c = np.bitwise_xor.reduceat(elements[order], at), c[at]
-        if len(c) <= d:  # all agreeing cells may be empty ones
+        spare = len(c) - d - 1
+        if spare < 0:  # all agreeing cells may be empty ones
             full = np.zeros(p, np.uint64)
             full[c] = value
-            value, c = full, np.arange(p)
-        out.append(mix(value + mix(c.astype(np.uint64) * np.uint64(0x10001) + np.uint64(j))))
-    return np.concatenate(out)
+            value, c, spare = full, np.arange(p), 0
+        out.append((mix(value + mix(c.astype(np.uint64) * np.uint64(0x10001) + np.uint64(j))), spare))
+    return out
 
 
 def bit_sketch(elements: np.ndarray) -> np.ndarray:
@@ -142,10 +151,11 @@ def profiles(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _keys(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """key, id, spare: the cells of each document, and twice how many of its band's cells it may leave out, plus 1 for the next band's."""
     bands = Bands(percent)
 
     def make(ids, el, off, seen):
-        keys, own = [], []
+        keys, own, spares = [], [], []
         for i, d in enumerate(ids):
             x = el[off[i] : off[i + 1]]
             if d is None or len(x) == 0:
@@ -155,23 +165,42 @@ def _keys(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 continue
             if len(seen) < 1 << 18:
                 seen.add(sig)
-            k = cell_keys(x, bands)
-            keys.append(k)
-            own.append(np.full(len(k), d, np.int64))
+            for side, (k, spare) in enumerate(cell_keys(x, bands)):
+                keys.append(k)
+                own.append(np.full(len(k), d, np.int64))
+                spares.append(np.full(len(k), 2 * spare + side, np.int32))
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(own))], names=["key", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(own)), pa.array(np.concatenate(spares))], names=["key", "id", "spare"])
 
-    return _each_set(docs, n, make, "key long, id long")
+    return _each_set(docs, n, make, "key long, id long, spare int")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+def _sets(docs: DataFrame, ids: DataFrame, n: int, bits: int = 1 << 23) -> DataFrame:
+    """id, s: the sets of the documents named by ids, and of a few others.
+
+    The ids grow with the corpus, so what tasks get of them is a filter of `bits`
+    bits, however many they are (1 MB): no text moves, and a document that passes
+    by chance costs its set.  A full filter refuses nothing and loses nothing.
+    """
+    at = F.pmod(F.xxhash64("id"), F.lit(bits)).cast("int")
+    held = ids.select(at.alias("b")).selectExpr("b div 64 as w", "shiftleft(1L, b % 64) as m").groupBy("w").agg(F.bit_or("m").alias("m")).collect()
+    flags = np.zeros(bits // 64, np.uint64)
+    flags[[r["w"] for r in held]] = np.array([r["m"] for r in held], np.int64).view(np.uint64)
+
+    def over(batches):
+        for b in batches:
+            place = b.column(2).to_numpy(zero_copy_only=False)
+            keep = flags[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)
+            b = b.filter(pa.array(keep.astype(bool)))
+            for x, y in slices(b.column(1)):
+                el, off = shingle_sets(b.column(1).slice(x, y - x), n)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), pa.array([el[off[i] : off[i + 1]].tobytes() for i in range(y - x)], pa.binary())], names=["id", "s"])
 
-    def make(own, el, off, _):
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([el[off[i] : off[i + 1]].tobytes() for i in range(len(own))], pa.binary())], names=["id", "s"])
+    return docs.where("id is not null").select("id", "t", at.alias("b")).mapInArrow(over, "id long, s binary")
 
-    sets = written(_each_set(docs.join(ids, "id", "left_semi").select("id", "t"), n, make, "id long, s binary"), "sets")
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough."""
 
     def compare(batches):
         for b in batches:
@@ -205,7 +234,10 @@ def similar_documents(docs: DataFrame, percent: int = 80, shingle: int = 5, text
     classes = real.groupBy("n", "sig1", "sig2").agg(F.min("id").alias("a"))
     same = real.join(classes, ["n", "sig1", "sig2"]).where("a <> id").select("a", F.col("id").alias("b"))
     whole = "over (partition by key)"
-    held = _keys(few, shingle, percent).selectExpr("key", "id", f"min(id) {whole} as lead", f"max(id) {whole} as last", f"count(*) {whole} as k").where("lead < last")
+    held = _keys(few, shingle, percent).selectExpr("key", "id", "spare", f"min(id) {whole} as lead", f"max(id) {whole} as last", f"count(*) {whole} as k").where("lead < last")
+    # rows that repeat an id fall apart by `spare`, or leave out no more together than each may alone
+    held = held.selectExpr("key", "id", "spare", "row_number() over (partition by id, spare order by k desc, key) as r").where("r > shiftright(spare, 1)").select("key", "id")
+    held = held.selectExpr("key", "id", f"min(id) {whole} as lead", f"max(id) {whole} as last", f"count(*) {whole} as k").where("lead < last")
     held = written(held.select("key", "id", "lead", "k"), "buckets")
     stars = written(held.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "stars")
 
@@ -216,20 +248,24 @@ def similar_documents(docs: DataFrame, percent: int = 80, shingle: int = 5, text
         return y.where(_near("x", "y", percent)).selectExpr("x.a as a", "b", "x.sig1 = y.sig1 and x.sig2 = y.sig2 and x.n = y.n as equal").distinct()
 
     sieve = written(sifted(stars), "sieve")
-    links = written(_verified(sieve.where("not equal").select("a", "b"), few, shingle, percent), "links")
+    sets = written(_sets(few, held.select("id").distinct(), shingle), "sets")
+    links = written(_verified(sieve.where("not equal").select("a", "b"), sets, percent), "links")
     edges = links.unionByName(same).unionByName(sieve.where("equal").select("a", "b"))
     comp = written(connected_components(edges), "components")
     # what the stars left apart inside a bucket; in a bucket of two the star was the only pair
     apart = held.where("k > 2").join(comp, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     apart = apart.selectExpr("*", f"min(c) {whole} as lo", f"max(c) {whole} as hi").where("lo < hi").drop("lo", "hi")
+    apart = written(apart, "apart")
+    firsts = apart.groupBy("id").agg(*[F.min_by("key", F.xxhash64("key", F.lit(i))).alias(f"first{i}") for i in range(ORDERS)])
     fold = [f"({' ^ '.join(f'w{k + 4 * m}' for m in range(4))}) as v{k}" for k in range(4)]
     small = real.dropDuplicates(["id", "sig1", "sig2"]).selectExpr("id", "n", *fold)
-    rest = written(apart.join(small, "id"), "apart")
-    cross = rest.alias("x").join(rest.alias("y"), F.expr(f"x.key = y.key and x.id < y.id and x.c <> y.c and {_near('x', 'y', percent, 4, 'v')}"))
+    rest = written(apart.join(firsts.join(small, "id"), "id"), "apart")
+    once = " ".join(f"when x.first{i} = y.first{i} then x.key = x.first{i}" for i in range(ORDERS))
+    cross = rest.alias("x").join(rest.alias("y"), F.expr(f"x.key = y.key and x.id < y.id and x.c <> y.c and case {once} else true end and {_near('x', 'y', percent, 4, 'v')}"))
     cross = cross.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     again = written(sifted(written(cross, "cross")), "sieve")
     if not again.isEmpty():
-        more = written(_verified(again.where("not equal").select("a", "b"), few, shingle, percent), "links")
+        more = written(_verified(again.where("not equal").select("a", "b"), sets, percent), "links")
         comp = connected_components(edges.unionByName(more).unionByName(again.where("equal").select("a", "b")))
     return prof.join(comp, prof.id == comp.node, "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
