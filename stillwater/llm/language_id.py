@@ -37,7 +37,7 @@ def top_ngrams(text: str | None, size: int) -> np.ndarray:
     if not keep.any():
         return np.zeros(0, np.int64)
     c = np.where(keep, c, 32)
-    c = np.concatenate(([32], c[keep | np.concatenate(([False], keep[:-1]))], [32]))
+    c = np.concatenate(([32], c[keep | np.concatenate(([False], keep[:-1]))], [32] if keep[-1] else []))
     two = c[:-1] << 21 | c[1:]
     three = two[:-1] << 21 | c[2:]
     codes, n = np.unique_counts(np.concatenate((c[c != 32], two[two != (32 << 21 | 32)], three)))
@@ -77,8 +77,11 @@ def train_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
-def out_of_place(own: np.ndarray, profile: np.ndarray, size: int) -> int:
-    order = np.argsort(profile)
+def out_of_place(own: np.ndarray, profile: np.ndarray, size: int, order: np.ndarray | None = None) -> int:
+    """Sum over a document's n-grams of how far each is from its rank in the profile; order: what sorts the profile, where it is known."""
+    if len(profile) == 0:
+        return size * len(own)
+    order = np.argsort(profile) if order is None else order
     at = np.searchsorted(profile, own, sorter=order)
     place = order[np.minimum(at, len(profile) - 1)]
     there = profile[place] == own
@@ -93,6 +96,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "
     are judged each; other columns are kept unless they have the two new names.
     """
     names = sorted(profiles)
+    orders = {k: np.argsort(profiles[k]) for k in names}
 
     def judge(texts: pd.Series) -> pd.DataFrame:
         pred, score = [], []
@@ -102,7 +106,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "
                 pred.append("und")
                 score.append(0.0)
                 continue
-            d = [out_of_place(own, profiles[k], size) for k in names]
+            d = [out_of_place(own, profiles[k], size, orders[k]) for k in names]
             best = int(np.argmin(d))
             pred.append(names[best])
             score.append(1 - d[best] / (size * len(own)))
@@ -110,7 +114,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "
 
     said = F.pandas_udf(judge, "lang_pred string, score double")
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*kept, said(F.col(text_col)).alias("_said")).select(*kept, "_said.lang_pred", "_said.score")
+    return docs.select(F.struct(*kept).alias("row"), said(F.col(text_col)).alias("said")).select("row.*", "said.*")
 
 
 def held_out(id_col: str, parts: int) -> F.Column:
