@@ -90,13 +90,12 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
 
 def keep_first(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of `docs` that stay; of rows that repeat an id and a text, one.  Columns stay as they are."""
-    stay = exact_dedup(docs, text_col, id_col).where("kept").groupBy(F.col("doc_id").alias("_stay"), F.col("text_sha256").alias("_hash")).agg(F.count("*").alias("_n"))
-    own = docs.withColumn("_own", F.sha2(normalised(F.col(text_col)), 256))  # the id alone does not say which text stays
-    marked = own.join(stay, own[id_col].eqNullSafe(stay["_stay"]) & (own["_own"] == stay["_hash"]), "left").where("_n is not null")
-    once = marked.where("_n = 1").select(*docs.columns)
-    again = marked.where("_n > 1").dropDuplicates([id_col, "_own"]).select(*docs.columns)
-    return once.unionByName(again)
+    """The rows of `docs` that stay; of rows that repeat an id and a text, one.  Columns stay as they are, whatever their names."""
+    stay = exact_dedup(docs, text_col, id_col).where("kept").groupBy(F.col("doc_id").alias("d2"), F.col("text_sha256").alias("s2")).agg(F.count("*").alias("n"))
+    # a row travels as one struct, so its columns meet no name of ours; the id alone does not say which text stays
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("d"), F.sha2(normalised(F.col(text_col)), 256).alias("s"))
+    marked = own.join(stay, F.col("d").eqNullSafe(F.col("d2")) & (F.col("s") == F.col("s2")))
+    return marked.where("n = 1").select("row").unionByName(marked.where("n > 1").dropDuplicates(["d", "s"]).select("row")).select("row.*")
 
 
 def op5_block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
