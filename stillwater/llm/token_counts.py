@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 from .common import table, written
 from .tokens import byte_bpe
 
-END_ID = 50256
+#: Two bytes hold ids to 65535; the vocabulary ends before it, so no text can hold the separator.
+END_ID = 65535
 
 
 def write_token_files(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", end_id: int = END_ID, block_tokens: int = 1 << 17, name: str = "byte_bpe_50k") -> DataFrame:
@@ -30,25 +32,38 @@ def write_token_files(docs: DataFrame, text_col: str = "text", id_col: str = "do
     doc_ids are a manifest of the documents in file order, without their lengths.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    if not 0 <= end_id <= 65535:
+        raise ValueError("the separator must fit in two bytes")
 
     def write(batches):
         encode, file, block, pending, n, batch_no = byte_bpe(name).encode, TaskContext.get().partitionId(), 0, [], 0, 0
+
+        def row(at, data, doc_ids, of):
+            cols = [pa.array([file]), pa.array([at]), pa.array([data], pa.binary()), pa.array([doc_ids], pa.list_(of))]
+            return pa.RecordBatch.from_arrays(cols, names=["file", "block", "data", "doc_ids"])
+
         for b in batches:
-            for text in b["t"]:
-                ids = np.frombuffer(encode(text if isinstance(text, str) else None), "<u4").astype("<u2")
-                pending += [ids, np.array([end_id], "<u2")]
+            of = b.column(0).type
+            for text in b.column(1).to_pylist():
+                ids = np.frombuffer(encode(text), "<u4")
+                if len(ids) and (ids == end_id).any() or len(ids) and int(ids.max()) > 65535:
+                    raise ValueError("the vocabulary holds the separator or an id over two bytes")
+                pending += [ids.astype("<u2"), np.array([end_id], "<u2")]
                 n += len(ids) + 1
-                while n >= block_tokens:
+                if n >= block_tokens:
                     flat = np.concatenate(pending)
-                    yield pd.DataFrame({"file": [file], "block": [block], "data": [flat[:block_tokens].tobytes()], "doc_ids": [None]})
-                    pending, n, block = [flat[block_tokens:]], n - block_tokens, block + 1
-            yield pd.DataFrame({"file": [file], "block": [batch_no], "data": [None], "doc_ids": [[None if pd.isna(d) else d for d in b["d"]]]})
+                    whole = n // block_tokens * block_tokens
+                    for a in range(0, whole, block_tokens):
+                        yield row(block, flat[a : a + block_tokens].tobytes(), None, of)
+                        block += 1
+                    pending, n = [flat[whole:]], n - whole
+            yield row(batch_no, None, b.column(0).to_pylist(), of)
             batch_no += 1
         if n:
-            yield pd.DataFrame({"file": [file], "block": [block], "data": [np.concatenate(pending).tobytes()], "doc_ids": [None]})
+            yield row(block, np.concatenate(pending).tobytes(), None, of)
 
     few = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
-    return written(few.mapInPandas(write, f"file long, block long, data binary, doc_ids array<{kind}>"), "tokens")
+    return written(few.mapInArrow(write, f"file long, block long, data binary, doc_ids array<{kind}>"), "tokens")
 
 
 def prefix_scan(blocks: DataFrame, super_block: int = 1024) -> DataFrame:
