@@ -29,6 +29,11 @@ from .common import connected_components, table, written
 ROUTES = 16
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings each one's largest component to 0.5 up to 1: exact, and no square overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])
+
+
 def directions(dim: int, count: int, seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64([seed, dim])).standard_normal((dim, count))
 
@@ -57,6 +62,7 @@ def collisions(sorted_by: list[tuple[np.ndarray, np.ndarray]], queries: np.ndarr
 
 def linked_pairs(x: np.ndarray, cosine: float, projections: int, half_width: float, recall: float, seed: int, side: np.ndarray | None = None):
     """Chunks of (i, j), i < j, whose rows have the cosine at least; with `side`, only pairs of unlike sides."""
+    x = scaled(x)
     norm = np.sqrt((x * x).sum(1))
     unit = x / norm[:, None]
     p = unit @ directions(x.shape[1], projections, seed)
@@ -95,7 +101,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, projections: int = 40
     def route(e: pd.Series) -> pd.Series:
         out = []
         for x in e:
-            x = np.asarray(x, np.float64)
+            x = scaled(np.asarray(x, np.float64))
             r = directions(len(x), ROUTES, seed + 1)
             out.append(x / math.sqrt(x @ x) @ (r / np.sqrt((r * r).sum(0))))
         return pd.Series(out)
