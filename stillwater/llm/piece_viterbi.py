@@ -18,6 +18,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -65,13 +66,13 @@ class PieceModel:
         self.longest = max(map(len, self.ids), default=1)
         self.penalty = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10
         # every prefix of a piece; what is no piece itself can only be passed through
-        self.node = {p[:k]: -math.inf for p in self.ids for k in range(1, len(p))} | {p: self.scores[i] for p, i in self.ids.items()}
+        node = {p[:k]: -math.inf for p in self.ids for k in range(1, len(p))} | {p: self.scores[i] for p, i in self.ids.items()}
         self.trie: dict = {}  # char -> (score, what may follow)
-        for p in sorted(self.node, key=len):
+        for p in sorted(node, key=len):
             at = self.trie
             for c in p[:-1]:
                 at = at[c][1]
-            at[p[-1]] = (self.node[p], {})
+            at[p[-1]] = (node[p], {})
         inner = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.cut_at_space = not any(a != SPACE and b == SPACE for a, b in inner)
         self.cut_at_line = not any("\n" in x for x in inner)
@@ -86,65 +87,57 @@ class PieceModel:
         return [self.byte.get(b, self.unknown) for b in piece.encode("utf-8", "replace")]
 
     def _bytes_of(self, part: str) -> bytes:
-        ids = self._lattice(part) if len(part) < 2 * self.longest else [i for some in self.stream(part) for i in some]
+        ids = [i for some in self.stream(part) for i in some]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _lattice(self, part: str) -> list[int]:
-        """What stream() gives for a part that ends before its window is full: the same lattice, pushed forward."""
-        n, trie, penalty = len(part), self.trie, self.penalty
-        best, back = [0.0, *[-math.inf] * n], [0] * (n + 1)
-        for k in range(n):
-            b, follow = best[k], trie
-            if b + penalty > best[k + 1]:
-                best[k + 1], back[k + 1] = b + penalty, k
-            end = k
-            for c in part[k:]:
-                hit = follow.get(c)
-                if hit is None:
-                    break
-                end += 1
-                score, follow = hit
-                if b + score > best[end]:
-                    best[end], back[end] = b + score, k
-        return self._path(part, back, n)
-
     def stream(self, chars: Iterable[str]) -> Iterator[list[int]]:
-        """Commit ids as soon as all surviving paths agree; ties go to the longer last piece."""
-        window, best, back, live = "", [0.0], [0], []  # best[k], back[k]: of boundary k; live: starts that a piece may still pass
-        node, penalty, longest = self.node, self.penalty, self.longest
-        for c in chars:
-            window += c
-            n = len(window)
-            top, frm, still = best[n - 1] + penalty, n - 1, []
-            live.append(n - 1)
-            for k in live:
-                score = node.get(window[k:n])
-                if score is None:
-                    continue
-                still.append(k)
-                score += best[k]
-                if score > top or (score == top and k <= frm):
-                    top, frm = score, k
-            live = still
-            best.append(top)
-            back.append(frm)
-            if n >= 2 * longest:
-                through: set[int] | None = None
-                for end in (*live, n):
+        """Commit ids as soon as all surviving paths agree; ties go to the longer last piece.
+
+        Paths are pushed forward from each boundary over the pieces that begin
+        there, so the window reads `longest` characters ahead of the boundary.
+        A path survives if it ends at a boundary that is still to be pushed.
+        """
+        source, longest, trie, penalty = iter(chars), self.longest, self.trie, self.penalty
+        window = "".join(islice(source, 2 * longest))
+        best, back = [0.0, *[-math.inf] * len(window)], [0] * (len(window) + 1)
+        at, whole = 0, len(window) < 2 * longest  # whole: the source has ended
+        while True:
+            for k in range(at, len(window) if whole else len(window) - longest + 1):
+                b, follow = best[k], trie
+                if b + penalty > best[k + 1]:
+                    best[k + 1], back[k + 1] = b + penalty, k
+                end = k
+                for c in window[k : k + longest]:
+                    hit = follow.get(c)
+                    if hit is None:
+                        break
+                    end += 1
+                    score, follow = hit
+                    if b + score > best[end]:
+                        best[end], back[end] = b + score, k
+            if whole:
+                if window:
+                    yield self._path(window, back, len(window))
+                return
+            at = len(window) - longest + 1
+            through: set[int] | None = None
+            for end in range(at, len(window) + 1):
+                if best[end] > -math.inf:
                     path, k = {end}, end
                     while k:
                         k = back[k]
                         path.add(k)
                     through = path if through is None else through & path
-                cut = max(through)
-                if cut:
-                    yield self._path(window, back, cut)
-                    window = window[cut:]
-                    best = [b - best[cut] for b in best[cut:]]
-                    back = [max(0, b - cut) for b in back[cut:]]
-                    live = [k - cut for k in live]
-        if window:
-            yield self._path(window, back, len(window))
+            cut = max(through)
+            if cut:
+                yield self._path(window, back, cut)
+                window, at = window[cut:], at - cut
+                best, back = [b - best[cut] for b in best[cut:]], [max(0, k - cut) for k in back[cut:]]
+            more = "".join(islice(source, longest))
+            whole = len(more) < longest
+            window += more
+            best += [-math.inf] * len(more)
+            back += [0] * len(more)
 
     def _path(self, window: str, back: list[int], end: int) -> list[int]:
         parts = []
