@@ -20,7 +20,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -172,17 +172,20 @@ def token_pieces(docs: DataFrame, capacity: int, text_col: str, id_col: str, end
         encode = byte_bpe(name).encode
         for b in batches:
             rows = []
-            for d, text in zip(b["d"], b["t"]):
-                ids = encode(text if isinstance(text, str) else None) + end
+            for k, text in enumerate(b.column(1).to_pylist()):
+                ids = encode(text) + end
                 n = len(ids) // 4
                 first = (n - 1) % capacity + 1
                 edges = [0, *range(first, n + 1, capacity)]
-                rows += [(d, i, x, y - x, zlib.crc32(ids[4 * x : 4 * y])) for i, (x, y) in enumerate(zip(edges, edges[1:]))]
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": b["d"].dtype, "piece": "int32"}) if rows else out
+                rows += [(k, i, x, y - x, zlib.crc32(ids[4 * x : 4 * y])) for i, (x, y) in enumerate(zip(edges, edges[1:]))]
+            if rows:
+                k, piece, *rest = zip(*rows)
+                # ids stay what they are: a null among them must not make doubles of the others
+                cols = [b.column(0).take(pa.array(k)), pa.array(piece, pa.int32()), *[pa.array(c, pa.int64()) for c in rest]]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     few = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
-    return few.mapInPandas(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return few.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def assign(pieces: DataFrame, capacity: int, per_salt: int = 50_000, **search) -> DataFrame:
@@ -208,26 +211,26 @@ def assign(pieces: DataFrame, capacity: int, per_salt: int = 50_000, **search) -
 
     def place(batches):
         for b in batches:
-            length, rank = b["length"].to_numpy(), b["_rank"].to_numpy()
-            seq, off = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
+            length, rank = b.column(1).to_numpy(), b.column(2).to_numpy()
+            seq, off = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             for k in np.unique(length):
                 at = np.flatnonzero(length == k)
                 e = arrays[int(k)]
                 e = e[np.searchsorted(e[:, 0], rank[at], side="right") - 1]
                 i = rank[at] - e[:, 0]
                 seq[at], off[at] = e[:, 1] + i // e[:, 2], e[:, 3] + i % e[:, 2] * k
-            yield b.drop(columns=["_rank"]).assign(sequence_id=seq, offset=off)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(seq), pa.array(off)], names=["row", "sequence_id", "offset"])
 
     salts = max(1, sum(counts.values()) // per_salt)
-    columns = pieces.columns
-    parts = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    before = parts.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    before = before.selectExpr("length as _l", "_salt as _s", "sum(_n) over (partition by length order by _salt rows between unbounded preceding and 1 preceding) as _before")
-    ranked = parts.selectExpr("*", "row_number() over (partition by length, _salt order by doc_id, piece) - 1 as _r")
-    ranked = ranked.join(before, (F.col("length") == F.col("_l")) & (F.col("_salt") == F.col("_s")))
-    ranked = ranked.select(*columns, (F.col("_r") + F.coalesce("_before", F.lit(0))).cast("long").alias("_rank"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInPandas(place, f"{schema}, sequence_id long, offset long")
+    # a row travels as one struct, so its columns meet no name of ours
+    parts = pieces.select(F.struct(*pieces.columns).alias("row"), "length", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int").alias("salt"))
+    before = parts.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    before = before.selectExpr("length as l", "salt as s", "sum(n) over (partition by length order by salt rows between unbounded preceding and 1 preceding) as before")
+    ranked = parts.selectExpr("*", "row_number() over (partition by length, salt order by row.doc_id, row.piece, row.start, row.ids_crc32) - 1 as r")
+    ranked = ranked.join(before, (F.col("length") == F.col("l")) & (F.col("salt") == F.col("s")))
+    ranked = ranked.select("row", "length", (F.col("r") + F.coalesce("before", F.lit(0))).cast("long").alias("rank"))
+    kind = ranked.schema["row"].dataType.simpleString()
+    return ranked.mapInArrow(place, f"row {kind}, sequence_id long, offset long").select("row.*", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, text_col: str = "text", id_col: str = "doc_id", **search) -> DataFrame:
