@@ -11,8 +11,8 @@
    and neighbours in it that share `length` bytes are repeated windows.
 4. Repeated windows are merged per document, and the rest is kept.
 
-A group of very many contexts is worked off in pairs of blocks, so no group is
-one task's; equal contexts leave each map task once.
+A group of many contexts, or of many bytes, is worked off in pairs of blocks, so
+no group is one task's; equal contexts leave each map task once.
 """
 
 from __future__ import annotations
@@ -179,7 +179,7 @@ def _each(make, schema: str, df: DataFrame) -> DataFrame:
     return df.mapInArrow(over, schema)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", id_col: str = "doc_id", block: int = 4000, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", id_col: str = "doc_id", block: int = 4000, block_bytes: int = 2 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text.
 
     A null text is empty; texts shorter than `length` lose nothing.  Rows that
@@ -205,7 +205,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", i
         return [part.column(0).take(pa.array(row)), part.column(2).take(pa.array(row)), pa.array(np.concatenate(h)), pa.array(np.concatenate(p)), pa.array(np.concatenate(a)), pa.array(np.concatenate(z))]
 
     spots = written(_each(find, f"d {kind}, s long, h long, p long, a long, z long", few), "anchors")
-    often = spots.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
+    # written, so that the join below has plain exchanges on both sides, which AQE can split at a hot anchor
+    often = written(spots.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "often")
     want = spots.join(often, "h").groupBy(F.col("d").alias("d2"), F.col("s").alias("s2")).agg(F.array_distinct(F.collect_list(F.struct("h", "p", "a", "z"))).alias("spots"))
     want = written(want, "wanted")
     same = F.col("d").eqNullSafe(F.col("d2")) & (F.col("s") == F.col("s2"))
@@ -223,8 +224,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", i
     made = written(made, "contexts")
     # equal contexts are one: per map task first, then over all
     kinds = made.groupBy("h", "key", "o", "n").agg(F.first("c").alias("c"), F.count("*").alias("m"))
-    parts = made.select("h", "key", "o", "n").distinct().groupBy("h").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"), F.count("*").alias("kinds"))
-    kinds = written(kinds.join(parts, "h"), "kinds")
+    kinds = written(kinds, "kinds")
+    parts = kinds.groupBy("h").agg(F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum(F.length("c")) / F.lit(block_bytes))).cast("int").alias("parts"), F.count("*").alias("kinds"))
+    kinds = kinds.join(written(parts, "parts"), "h")
     # one context, however often: all its windows are repeated if it occurs twice
     alone = kinds.where("kinds = 1 and m > 1").select(F.col("h").alias("h2"), F.col("key").alias("key2"), F.col("o").alias("o2"), F.col("n").alias("n2"), F.array(F.lit(0), F.col("n") - 1).alias("runs"))
     kinds = kinds.where("kinds > 1").withColumn("own", F.pmod("key", "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -288,4 +290,4 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", i
 
 
 def op8_lyndon_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+    return remove_repeats(table(spark, sf_dir, "documents"))
