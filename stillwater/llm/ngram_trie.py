@@ -1,30 +1,35 @@
 """LM scoring with an Elias-Fano n-gram trie.
 
 The model is an interpolated n-gram model with absolute discounting.  A shard of
-the trie holds all contexts that hash to it: a level of contexts, monotone
-pointers to where each context's successors begin, and the successors, sorted
-inside their context.  All three are monotone sequences in Elias-Fano form (low
-bytes in planes, high parts in a unary bit vector), and discounted probabilities
-and backoff weights are quantised to two bytes; the levels lie in one
-memory-mapped file.  A query finds its context by successor search and then its
-word by successor search inside that context's range.
-
-Distribution: texts are cut into blocks.  A block sends each shard its distinct
-n-grams once, with their training counts; a shard sums the counts of all blocks,
-builds its trie, and answers every block in the order it asked, two bytes for an
-n-gram.  So no model is collected or broadcast, a hot word costs a row per block
-and shard, and what moves grows with the corpus.
+the trie holds the n-grams whose contexts hash to it, as levels: the first words
+of contexts, then per level the words that follow each node of the level above.
+Each level is a monotone sequence in Elias-Fano form (low bytes in planes, high
+parts in a unary bit vector), monotone pointers say where each node's successors
+begin, and discounted probabilities and backoff weights are quantised to two
+bytes; the levels lie in one memory-mapped file.  A query walks from the root: in
+the range that its node's pointers give it searches the next word's successor.
+
+Distribution: texts are cut into blocks.  A block sends its distinct n-grams with
+their training counts, nested by context, a message for each (level, shard).  A
+(level, shard) sums the counts of all blocks, builds its trie, and answers every
+block in the order it asked, two bytes for an n-gram.  So no model is collected
+or broadcast, a hot word costs a row per block and shard, and what moves grows
+with the corpus.  The number of shards goes with the bytes of text.
+
+A shard's trie file is a scratch file of the task that builds it: it is read
+there alone, removed when the task ends and built again when the task runs again.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
-import zlib
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,51 +39,45 @@ from .wordhash import mix, slices, words
 
 END, BEGIN = np.uint64(0x1F3A5C7E9B2D4F60), np.uint64(0x2E4C6A8B0D1F3E5C)
 DISCOUNT = 0.95
+_LOW = np.uint64(0xFFFFFFFF)
+_INNER = np.uint32(0xFFFFFF)  # of a context's inner words 24 bits are kept, beside 32 of its first and those that chose the shard
+_HALF = np.uint64(32)
 
 
 class EliasFano:
-    """A sorted sequence of unsigned integers; find() gives the place of each query or -1, get() the values."""
+    """A sorted sequence of unsigned integers: low bytes in planes, high parts in a unary bit vector.
 
-    def __init__(self, n: int, planes: list[np.ndarray], bits: np.ndarray, zeros: np.ndarray):
-        self.n, self.planes, self.bits, self.zeros = n, planes, bits, zeros
-        self.low = 8 * len(planes)
+    Where the buckets of equal high parts begin is read off the bit vector once,
+    when the sequence is first searched.
+    """
+
+    def __init__(self, n: int, planes: list[np.ndarray], bits: np.ndarray):
+        self.n, self.planes, self.bits, self.low = n, planes, bits, 8 * len(planes)
+        self._high: np.ndarray | None = None
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
         values = np.asarray(values, np.uint64)
-        n = len(values)
+        n, low = len(values), 0
         top = int(values[-1]) if n else 0
-        low = 0
         while low < 56 and (top >> low) > max(1, 2 * n):
             low += 8
         planes = [((values >> np.uint64(k)) & np.uint64(255)).astype(np.uint8) for k in range(0, low, 8)]
         high = (values >> np.uint64(low)).astype(np.int64)
-        size = (int(high[-1]) if n else 0) + n + 2
-        flags = np.zeros((size + 63) // 64 * 64, np.uint8)
+        flags = np.zeros((int(high[-1]) if n else 0) + n + 1, np.uint8)
         flags[high + np.arange(n)] = 1
-        bits = np.packbits(flags)
-        zeros = np.concatenate(([0], np.cumsum(64 - flags.reshape(-1, 64).sum(1, dtype=np.int64)))).astype(np.int64)
-        return cls(n, planes, bits, zeros)
+        return cls(n, planes, np.packbits(flags))
 
     def arrays(self) -> list[np.ndarray]:
-        return [*self.planes, self.bits, self.zeros]
-
-    def _starts(self, high: np.ndarray) -> np.ndarray:
-        """How many values have a high part below each of `high`: where its zero is, less the zeros before."""
-        want = high - 1  # the zero that closes the bucket before
-        out = np.zeros(len(high), np.int64)
-        ok = want >= 0
-        want = want[ok]
-        block = np.minimum(np.searchsorted(self.zeros, want, side="right") - 1, len(self.zeros) - 2)
-        inside = np.zeros(len(want), np.int64)
-        words64 = self.bits.reshape(-1, 8)
-        for a in range(0, len(want), 1 << 15):
-            s = slice(a, a + (1 << 15))
-            flags = np.unpackbits(words64[block[s]], axis=1)
-            seen = np.cumsum(flags ^ 1, axis=1, dtype=np.int16)
-            inside[s] = (seen <= (want[s] - self.zeros[block[s]])[:, None]).sum(1)
-        out[ok] = np.minimum(block * 64 + inside - want, self.n)
-        return out
+        return [*self.planes, self.bits]
+
+    @property
+    def high(self) -> np.ndarray:
+        """The high part of each value: the place of its one, less the ones before."""
+        if self._high is None:
+            self._high = (np.flatnonzero(np.unpackbits(self.bits))[: self.n] - np.arange(self.n)).astype(np.int64)
+            self._first = np.searchsorted(self._high, np.arange((int(self._high[-1]) if self.n else -1) + 2)).astype(np.int64)
+        return self._high
 
     def _lows(self, at: np.ndarray) -> np.ndarray:
         out = np.zeros(len(at), np.uint64)
@@ -86,35 +85,30 @@ class EliasFano:
             out |= p[at].astype(np.uint64) << np.uint64(8 * k)
         return out
 
-    def successor(self, queries: np.ndarray) -> np.ndarray:
-        """The place of the first value not below each query (n where there is none)."""
-        queries = np.asarray(queries, np.uint64)
-        limit = int(self.zeros[-1]) - 1
-        high = np.minimum(queries >> np.uint64(self.low), np.uint64(limit)).astype(np.int64)
-        over = (queries >> np.uint64(self.low)) > np.uint64(limit)
-        lo, hi = self._starts(high), self._starts(high + 1)
-        hi = np.where(over, self.n, hi)
-        lo = np.where(over, self.n, lo)
-        want = queries & np.uint64((1 << self.low) - 1)
-        while (open_ := lo < hi).any():
-            mid = (lo + hi) // 2
-            less = open_ & (self._lows(np.minimum(mid, max(0, self.n - 1))) < want)
-            lo = np.where(less, mid + 1, lo)
-            hi = np.where(open_ & ~less, mid, hi)
-        return lo
-
     def get(self, at: np.ndarray) -> np.ndarray:
         """The values at places `at`."""
-        ones = np.arange(len(self.zeros)) * 64 - self.zeros
-        block = np.searchsorted(ones, at, side="right") - 1
-        high = np.zeros(len(at), np.uint64)
-        words64 = self.bits.reshape(-1, 8)
-        for a in range(0, len(at), 1 << 15):
-            s = slice(a, a + (1 << 15))
-            seen = np.cumsum(np.unpackbits(words64[block[s]], axis=1), axis=1, dtype=np.int16)
-            inside = (seen <= (at[s] - ones[block[s]])[:, None]).sum(1)
-            high[s] = (block[s] * 64 + inside - at[s]).astype(np.uint64)
-        return high << np.uint64(self.low) | self._lows(at)
+        return self.high[at].astype(np.uint64) << np.uint64(self.low) | self._lows(at)
+
+    def successor(self, queries: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the first value not below each query inside begin..end, whether it equals the query)."""
+        queries, high = np.asarray(queries, np.uint64), self.high
+        if self.n == 0:
+            return np.zeros(len(queries), np.int64), np.zeros(len(queries), bool)
+        want = queries >> np.uint64(self.low)
+        over = want > np.uint64(high[-1])
+        want = np.where(over, 0, want).astype(np.int64)
+        lo, hi = self._first[want], self._first[want + 1]
+        if begin is not None:
+            lo, hi = np.clip(lo, begin, end), np.clip(hi, begin, end)
+        lo, hi = np.where(over, self.n, lo), np.where(over, self.n, hi)
+        stop, low = hi.copy(), queries & np.uint64((1 << self.low) - 1)
+        if self.low:
+            while (go := np.flatnonzero(lo < hi)).size:
+                mid = (lo[go] + hi[go]) >> 1
+                less = self._lows(mid) < low[go]
+                lo[go], hi[go] = np.where(less, mid + 1, lo[go]), np.where(less, hi[go], mid)
+        near = np.minimum(lo, self.n - 1)
+        return lo, (lo < stop) & (self._lows(near) == low)
 
 
 class Codebook:
@@ -128,22 +122,28 @@ class Codebook:
         return (1 + np.rint((values - self.least) / self.step)).astype(np.uint16)
 
 
-class TrieLevel:
-    """Contexts and their successors in a memory-mapped file.
+def _ranges(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... inside each run of the given sizes."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
-    contexts, successors (32-bit, sorted inside each context) and counts are
-    parallel arrays sorted by (context, successor).
+
+class Trie:
+    """The n-grams of one level and shard in a memory-mapped file.
+
+    words: the sorted first words, then per further depth the sorted nodes, each
+    its parent's place << 32 | its word; counts: how often each n-gram occurs.
     """
 
-    def __init__(self, contexts: np.ndarray, successors: np.ndarray, counts: np.ndarray):
-        first = np.flatnonzero(np.concatenate(([True], contexts[1:] != contexts[:-1]))) if len(contexts) else np.zeros(0, np.int64)
-        total = np.add.reduceat(counts, first).astype(float) if len(first) else np.zeros(0)
-        kinds = np.diff(np.concatenate((first, [len(contexts)])))
+    def __init__(self, words: list[np.ndarray], counts: np.ndarray):
+        parts: dict[str, EliasFano] = {"words0": EliasFano.build(words[0])}
+        for depth in range(1, len(words)):
+            begin = np.searchsorted(words[depth] >> 32, np.arange(len(words[depth - 1]) + 1))
+            parts[f"pointers{depth}"], parts[f"words{depth}"] = EliasFano.build(begin), EliasFano.build(words[depth])
+        kinds = np.diff(begin)  # of each context
+        total = np.add.reduceat(counts, begin[:-1]).astype(float) if len(counts) else np.zeros(0)
         prob = np.log10((counts - DISCOUNT) / np.repeat(total, kinds)) if len(counts) else np.zeros(0)
-        backoff = np.log10(DISCOUNT * kinds / total) if len(first) else np.zeros(0)
-        self.prob_book, self.backoff_book = Codebook(prob), Codebook(backoff)
-        local = np.repeat(np.arange(len(first), dtype=np.uint64), kinds) << np.uint64(32) | successors.astype(np.uint64)
-        parts = {"contexts": EliasFano.build(contexts[first]), "pointers": EliasFano.build(np.concatenate((first, [len(contexts)]))), "successors": EliasFano.build(local)}
+        backoff = np.log10(DISCOUNT * kinds / total) if len(counts) else np.zeros(0)
+        self.depth, self.prob_book, self.backoff_book = len(words), Codebook(prob), Codebook(backoff)
         codes = {"prob": self.prob_book.encode(prob), "backoff": self.backoff_book.encode(backoff)}
         handle, self.path = tempfile.mkstemp(prefix="trie-")
         with os.fdopen(handle, "wb") as out:
@@ -153,42 +153,45 @@ class TrieLevel:
                 out.write(x.tobytes())
                 out.write(b"\0" * (-out.tell() % 8))
             out.write(b"\0" * 8)
-        flat = np.memmap(self.path, np.uint8, "r")
+        flat = np.asarray(np.memmap(self.path, np.uint8, "r"))
         views = iter([flat[at : at + n * t.itemsize].view(t) for at, t, n in spots])
-        self.contexts, self.pointers, self.successors = (EliasFano(ef.n, [next(views) for _ in ef.planes], next(views), next(views)) for ef in parts.values())
+        self.levels = {k: EliasFano(ef.n, [next(views) for _ in ef.planes], next(views)) for k, ef in parts.items()}
         self.prob, self.backoff = next(views), next(views)
 
     def close(self) -> None:
         os.unlink(self.path)
 
-    def look_up(self, contexts: np.ndarray, starts: np.ndarray, successors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(probability codes, backoff codes) for distinct contexts whose successors begin at `starts`; 0: not in the model."""
-        found = self.contexts.successor(contexts)
-        near = np.minimum(found, max(0, self.contexts.n - 1))
-        known = (found < self.contexts.n) & (self.contexts.get(near) == contexts) if self.contexts.n else np.zeros(len(contexts), bool)
-        backoff = np.where(known, self.backoff[near], 0).astype(np.uint16) if self.contexts.n else np.zeros(len(contexts), np.uint16)
-        sizes = np.diff(np.concatenate((starts, [len(successors)])))
-        c = np.repeat(near, sizes)
-        code = np.zeros(len(successors), np.uint16)
-        ask = np.flatnonzero(np.repeat(known, sizes))
-        if len(ask):
-            query = c[ask].astype(np.uint64) << np.uint64(32) | successors[ask].astype(np.uint64)
-            at = self.successors.successor(query)
-            end = self.pointers.get(near[known] + 1).astype(np.int64)
-            inside = at < np.repeat(end, sizes[known])  # stays within the context's range
-            at = np.minimum(at, self.successors.n - 1)
-            hit = inside & (self.successors.get(at) == query)
-            code[ask] = np.where(hit, self.prob[at], 0)
+    def look_up(self, lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(probability code of each n-gram, backoff code of each context) of nested lists; 0: not in the model.
+
+        lists: the contexts' first words, then for each further depth how many words follow each node and those words.
+        """
+        node, there = self.levels["words0"].successor(lists[0])
+        for depth in range(1, self.depth):
+            sizes, word = lists[2 * depth - 1 : 2 * depth + 1]
+            if depth == self.depth - 1:
+                backoff = np.zeros(len(node), np.uint16)
+                backoff[there] = self.backoff[node[there]]
+            parent, known = np.repeat(node, sizes), np.repeat(there, sizes)
+            node, there = np.zeros(len(word), np.int64), known.copy()
+            ask = parent[known]
+            pointers = self.levels[f"pointers{depth}"]
+            edges = pointers.get(np.arange(pointers.n)).astype(np.int64)
+            query = ask.astype(np.uint64) << _HALF | word[known].astype(np.uint64)
+            node[known], there[known] = self.levels[f"words{depth}"].successor(query, edges[ask], edges[ask + 1])
+        code = np.zeros(len(node), np.uint16)
+        code[there] = self.prob[node[there]]
         return code, backoff
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
     head = np.array([len(arrays), *[x for a in arrays for x in (ord(a.dtype.char), len(a))]], "<i8")
-    return zlib.compress(head.tobytes() + b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"" for a in arrays), 1)
+    planes = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"" for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + planes)
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
-    raw = zlib.decompress(blob)
+    raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     head = np.frombuffer(raw, "<i8", 2 * n, 8).reshape(n, 2)
     at, out = 8 + 16 * n, []
@@ -199,116 +202,197 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _block(texts: pa.Array, train: np.ndarray, order: int, shards: int):
-    """(n_tokens, token -> word, per level token -> n-gram, tokens whose word their bigram does not tell, queries [(level, shard, blob)], sizes for the answers)."""
-    _, _, _, h, first = words(texts)
-    docs = len(train)
-    n = np.diff(first) + 1
-    ends = np.cumsum(n) - 1
-    tok = np.empty(int(n.sum()), np.uint64)
-    tok[ends] = END
-    hole = np.ones(len(tok), bool)
-    hole[ends] = False
-    tok[hole] = h
-    learn = np.repeat(train, n)
-    begins = ends - n + 1
-    queries, maps = [], []
-    w, at = np.unique(tok, return_inverse=True)
-    shard = (mix(w) % np.uint64(shards)).astype(np.int64)
-    rank = np.argsort(shard, kind="stable")
-    place = np.empty(len(w), np.int64)
-    place[rank] = np.arange(len(w))
-    word = place[at]
-    if order == 1:
-        maps.append(word.astype(np.uint32))
-    counts = np.bincount(at[learn], minlength=len(w))[rank].astype(np.uint32)
-    for s, a, b in _runs(shard[rank]):
-        queries.append((1, s, _pack(w[rank][a:b], counts[a:b])))
-    context = np.full(len(tok), BEGIN, np.uint64)
-    for level in range(2, order + 1):
-        back = np.concatenate((np.full(level - 1, BEGIN), tok[: 1 - level]))[: len(tok)]
-        for k in range(level - 1):
-            inside = begins + k
-            back[inside[inside <= ends]] = BEGIN
-        context = mix(back + np.uint64(level)) if level == 2 else mix(context * np.uint64(0x9E3779B97F4A7C15) + back)
-        cs, c_at = np.unique(context, return_inverse=True)
-        cshard = (mix(cs) % np.uint64(shards)).astype(np.int64)
-        corder = np.lexsort((cs, cshard))
-        cplace = np.empty(len(cs), np.int64)
-        cplace[corder] = np.arange(len(cs))
-        pairs, p_at = np.unique(cplace[c_at].astype(np.uint64) << np.uint64(32) | (tok & np.uint64(0xFFFFFFFF)), return_inverse=True)
-        gram_word = np.zeros(len(pairs), np.uint32)
-        gram_word[p_at] = word
-        maps += [p_at.astype(np.uint32), gram_word]
-        if level == 2:
-            other = gram_word[p_at] != word  # tokens whose key another word of the same context shares
-        counts = np.bincount(p_at[learn], minlength=len(pairs)).astype(np.uint32)
-        owner = (pairs >> np.uint64(32)).astype(np.int64)
-        begin = np.searchsorted(owner, np.arange(len(cs) + 1))
-        maps += [np.diff(owner, prepend=0).astype(np.uint8)]
-        for s, a, b in _runs(cshard[corder]):
-            x, y = begin[a], begin[b]
-            queries.append((level, s, _pack(cs[corder][a:b], (begin[a:b] - x).astype(np.uint32), (pairs[x:y] & np.uint64(0xFFFFFFFF)).astype(np.uint32), counts[x:y])))
-    if order == 2:  # sums need no order inside a text: sorted indices compress well
-        by_gram = np.lexsort((maps[0], np.repeat(np.arange(docs), n)))
-        maps[0], other, word = maps[0][by_gram], other[by_gram], word[by_gram]
-    if order > 1:
-        maps += [np.flatnonzero(other), word[other].astype(np.uint32)]
-    return n, maps, queries
-
-
 def _runs(keys: np.ndarray):
     at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
     for a, b in zip(at.tolist(), [*at[1:].tolist(), len(keys)]):
         yield int(keys[a]), a, b
 
 
-def _answer(group: pd.DataFrame) -> pd.DataFrame:
-    """One shard: sum the blocks' counts, build the trie's levels, answer each block."""
-    out = []
-    for level, g in group.groupby("level"):
-        parts = [_unpack(b) for b in g["blob"]]
-        if level == 1:
-            w, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            c = np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
-            seen = c[c > 0]
-            out.append((-1, 1, 0, _pack(np.array([seen.sum(), len(seen), (seen == 1).sum()]))))
-            for block, p in zip(g["block"], parts):
-                out.append((block, 1, g["shard"].iloc[0], _pack(c[np.searchsorted(w, p[0])])))
-            continue
-        ctx, suc, cnt = [], [], []
-        for c, starts, s, n in parts:
-            keep = n > 0
-            ctx.append(np.repeat(c, np.diff(np.concatenate((starts, [len(s)]))))[keep])
-            suc.append(s[keep])
-            cnt.append(n[keep])
-        ctx, suc, cnt = np.concatenate(ctx), np.concatenate(suc), np.concatenate(cnt).astype(np.int64)
-        order = np.lexsort((suc, ctx))
-        ctx, suc, cnt = ctx[order], suc[order], cnt[order]
-        if len(ctx):
-            at = np.flatnonzero(np.concatenate(([True], (ctx[1:] != ctx[:-1]) | (suc[1:] != suc[:-1]))))
-            ctx, suc, cnt = ctx[at], suc[at], np.add.reduceat(cnt, at)
-        trie = TrieLevel(ctx, suc, cnt)
-        try:
-            books = np.array([trie.prob_book.least, trie.prob_book.step, trie.backoff_book.least, trie.backoff_book.step])
-            for block, (c, starts, s, _) in zip(g["block"], parts):
-                code, backoff = trie.look_up(c, starts.astype(np.int64), s)
-                out.append((block, level, g["shard"].iloc[0], _pack(code, backoff, books)))
-        finally:
-            trie.close()
-    return pd.DataFrame(out, columns=["block", "level", "shard", "blob"])
-
-
-def score_texts(docs: DataFrame, train, order: int = 2, shards: int | None = None, block_bytes: int = 16 << 20, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def _numbered(keys: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each key among the sorted distinct ones of keys and more, those): a hash table finds them, only they are sorted."""
+    code, kinds = pd.factorize(keys)
+    kinds = np.concatenate((kinds, [m for m in more if not (kinds == m).any()])).astype(np.int64)
+    rank = np.argsort(kinds)
+    place = np.empty(len(kinds), np.int64)
+    place[rank] = np.arange(len(kinds))
+    return place[code], kinds[rank]
+
+
+class _Block:
+    """The n-grams of a block of texts.
+
+    queries(): (level, shard, blob) messages.  maps: what turns their answers,
+    one shard's behind another's, into sums per text.  Words ask with their
+    successors: a message of level 2 holds the words of a shard, their counts,
+    and what follows each.
+    """
+
+    def __init__(self, texts: pa.Array, train: np.ndarray, order: int, shards: int):
+        _, _, _, h, first = words(texts)
+        n = np.diff(first) + 1
+        ends = np.cumsum(n) - 1
+        begins = ends - n + 1
+        tok = np.empty(int(n.sum()), np.uint64)
+        hole = np.ones(len(tok), bool)
+        hole[ends] = False
+        tok[ends], tok[hole] = END, h
+        del h, hole
+        self.learn, self.asked = np.repeat(train, n), []
+        code, kinds = pd.factorize(tok.view(np.int64))
+        del tok
+        w = np.concatenate((kinds.view(np.uint64), [BEGIN]))
+        shard = (mix(w) % np.uint64(shards)).astype(np.int32)
+        rank = np.lexsort((w, shard))
+        place = np.empty(len(w), np.int32)
+        place[rank] = np.arange(len(w))
+        word, begin, w, shard = place[code], int(place[-1]), w[rank], shard[rank]
+        del code, kinds
+        self.w, self.word, self.shard, self.order = w, word, shard, order
+        maps, path, home = [], mix(w), mix(w + np.uint64(1))  # path: a hash of each node's words; home: of its first word
+        node, blank, above = word, begin, np.arange(len(w), dtype=np.uint32)  # above: where the answers to the level before hold each of its nodes
+        self.tree: list[tuple[np.ndarray, np.ndarray]] = [(above, above)]  # (owner, word) of each level's nodes
+        for level in range(2, order + 1):
+            keys = np.empty(len(node), np.int64)
+            keys[1:] = node[:-1]
+            keys[begins] = blank
+            keys <<= 32
+            keys |= word
+            empty = np.array([blank << 32 | begin] if level < order else [], np.int64)
+            lower, (node, grams) = node, _numbered(keys, empty)
+            del keys
+            owner, last = (grams >> 32).astype(np.uint32), grams.astype(np.uint32)
+            sizes = np.bincount(owner, minlength=len(path))
+            cs = np.arange(len(path)) if level == 2 else np.flatnonzero(sizes)
+            at, sizes = (np.cumsum(sizes) - sizes)[cs], sizes[cs]
+            # a first word's contexts go to an eighth of the shards: a frequent one is split, and a message names few of them again
+            cshard = shard if level == 2 else ((home[cs] + path[cs] % np.uint64(max(1, shards // 8))) % np.uint64(shards)).astype(np.int32)
+            by = np.argsort(cshard, kind="stable")
+            at, sizes, cs, cshard = at[by], sizes[by], cs[by], cshard[by]
+            perm = (np.repeat(at, sizes) + _ranges(sizes)).astype(np.uint32)
+            below = np.zeros(len(grams), np.uint32)
+            below[node] = lower
+            maps += [above[below[perm]], sizes.astype(np.uint32)]
+            above = np.empty(len(grams), np.uint32)
+            above[perm] = np.arange(len(grams))
+            self.asked.append((level, cs, cshard, sizes, perm, last, node))
+            path, home = mix(path[owner] * np.uint64(0x9E3779B97F4A7C15) + w[last]), home[owner]
+            self.tree.append((owner, last))
+            if len(empty):
+                blank = int(np.searchsorted(grams, empty[0]))
+        # sums need no order inside a text: sorted places in steps compress well
+        flat = np.sort(np.repeat(np.arange(len(n)), n) << 32 | above[node]) & 0xFFFFFFFF
+        self.maps = [n.astype(np.int64), np.diff(flat, prepend=0).astype(np.uint32), *maps]
+
+    def queries(self):
+        low = (self.w & _LOW).astype(np.uint32)
+        counts = np.bincount(self.word[self.learn], minlength=len(self.w)).astype(np.uint32)
+        if self.order == 1:
+            for s, a, b in _runs(self.shard):
+                yield 2, s, _pack(self.w[a:b], counts[a:b])
+        for level, cs, cshard, sizes, perm, last, node in self.asked:
+            times = np.bincount(node[self.learn], minlength=len(last)).astype(np.uint32)[perm]
+            successors, edge = low[last[perm]], np.concatenate(([0], np.cumsum(sizes)))
+            for s, a, b in _runs(cshard):
+                x, y = edge[a], edge[b]
+                first = [self.w[a:b], counts[a:b]] if level == 2 else self._nested(cs[a:b], low, level)
+                yield level, s, _pack(*first, sizes[a:b].astype(np.uint32), successors[x:y], times[x:y])
+
+    def _nested(self, nodes: np.ndarray, low: np.ndarray, level: int) -> list[np.ndarray]:
+        """Contexts as lists from their first words down: first words, (sizes, words) of each further depth."""
+        out: list[np.ndarray] = []
+        for owner, last in reversed(self.tree[1 : level - 1]):
+            own = owner[nodes]
+            at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            out[:0] = [np.diff(np.concatenate((at, [len(own)]))).astype(np.uint32), low[last[nodes]] & _INNER]
+            nodes = own[at]
+        return [low[nodes], *out]
+
+
+def _answer(level: int, blocks: list[int], blobs: list[bytes]):
+    """(block, blob) answers of one level and shard: sum the blocks' counts, build the trie, walk it for each block."""
+    sums: list[np.ndarray] = []
+    if level == 2:  # the words' own counts
+        parts = [_unpack(b)[:2] for b in blobs]
+        w, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        c = np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
+        seen = c[c > 0]
+        yield -1, _pack(np.array([seen.sum(), len(seen), (seen == 1).sum()]))
+        sums = [c[np.searchsorted(w, p[0])] for p in parts]
+        del parts, w, at, c, seen
+    lists_of = lambda blob: (lambda x: [x[0], *x[2:]] if level == 2 else x)(_unpack(blob))
+    if len(lists_of(blobs[0])) == 1:  # of order 1
+        for block, total in zip(blocks, sums):
+            yield block, _pack(total)
+        return
+    paths: list[list[np.ndarray]] = [[] for _ in range(level)]
+    counts = []
+    for blob in blobs:
+        *lists, count = lists_of(blob)
+        keep = np.flatnonzero(count)
+        counts.append(count[keep])
+        under = keep  # the node of each depth that a counted n-gram lies under, from the last depth up
+        for depth in range(level - 1, -1, -1):
+            paths[depth].append(lists[2 * depth][under])
+            if depth:
+                under = np.repeat(np.arange(len(lists[2 * depth - 2]), dtype=np.int32), lists[2 * depth - 1])[under]
+        del lists, count, keep, under
+    column = np.concatenate(paths[0])
+    levels = [np.unique(column)]
+    ids = np.searchsorted(levels[0], column).astype(np.int64)
+    for depth in range(1, level):  # number the nodes of each depth in sorted order
+        column = np.concatenate(paths[depth])
+        paths[depth] = []
+        ids <<= 32
+        ids |= column
+        del column
+        ids, nodes = _numbered(ids, np.zeros(0, np.int64))
+        levels.append(nodes)
+    total = np.bincount(ids, np.concatenate(counts), minlength=len(levels[-1])).astype(np.int64)
+    trie = Trie(levels, total)
+    del paths, counts, ids, levels, nodes, total
+    try:
+        books = np.array([trie.prob_book.least, trie.prob_book.step, trie.backoff_book.least, trie.backoff_book.step])
+        for i, (block, blob) in enumerate(zip(blocks, blobs)):
+            yield block, _pack(*trie.look_up(lists_of(blob)[:-1]), books, *sums[i : i + 1])
+    finally:
+        trie.close()
+
+
+def _scores(maps: list[np.ndarray], answers: dict[int, list[bytes]], size: int, kinds: int, once: int):
+    """(tokens, known tokens, base score, score) of each text of a block."""
+    n, steps, *links = maps
+    own = [_unpack(b) for b in answers[2]]
+    c = np.concatenate([x[-1] for x in own])
+    unknown = min(max(once, 1) / (size + 1), 0.5) if size else 1.0
+    base, known = np.log10((c + 0.1) / (size + 0.1 * (kinds + 1))), (c > 0).astype(np.int64)
+    p = np.where(c > 0, (1 - unknown) * c / max(size, 1), unknown)
+    for level in range(2, len(links) // 2 + 2):
+        below, sizes = links[2 * level - 4 : 2 * level - 2]
+        prob, weight = [], []
+        for x in own if level == 2 else map(_unpack, answers[level]):
+            code, backoff, books = x[:3]
+            prob.append(np.where(code > 0, 10 ** (books[0] + (code - 1.0) * books[1]), 0.0))
+            weight.append(np.where(backoff > 0, 10 ** (books[2] + (backoff - 1.0) * books[3]), 1.0))
+        p = np.minimum(1.0, np.concatenate(prob) + np.repeat(np.concatenate(weight), sizes) * p[below])
+        base, known = base[below], known[below]
+    at, starts = np.cumsum(steps, dtype=np.uint32), np.cumsum(n) - n
+    return [n, *(np.add.reduceat(x[at], starts) for x in (known, base, np.log10(p)))]
+
+
+def score_texts(docs: DataFrame, train, order: int = 2, shards: int | None = None, block_bytes: int = 16 << 20, shard_bytes: int = 4 << 20, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     train: a boolean column; rows where it is true are learnt from (null: not).
     A null or blank text is the end token alone.  Rows that repeat are learnt from
     and scored each.  Without training rows all tokens are unknown and share one
-    class.  Other columns are ignored, whatever their names.
+    class.  Other columns are ignored, whatever their names.  Words that follow
+    the same context are told apart by 32 bits of their hash in `score`, a level 2
+    context by 64 bits and a longer one by 32 of its first word, 24 of each other
+    one and its shard; n_known and base_score go by the 64-bit hash.
     """
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if shards is None:
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_bytes(docs.select(text_col)) // shard_bytes))
     kind = docs.schema[id_col].dataType.simpleString()
     few = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"), F.coalesce(train, F.lit(False)).alias("l"))
 
@@ -316,59 +400,56 @@ def score_texts(docs: DataFrame, train, order: int = 2, shards: int | None = Non
         block = (TaskContext.get().partitionId() + 1) << 32
         for b in batches:
             for x, y in slices(b.column(1), block_bytes):
-                part, learn = b.slice(x, y - x), np.asarray(b.column(2).slice(x, y - x).to_numpy(zero_copy_only=False), bool)
-                yield block, part, learn, _block(part.column(1), learn, order, shards)
+                ids, learn = b.column(0).slice(x, y - x), np.asarray(b.column(2).slice(x, y - x).to_numpy(zero_copy_only=False), bool)
+                yield block, ids, learn, _Block(b.column(1).slice(x, y - x), learn, order, shards)
                 block += 1
 
     def ask(batches):
-        for block, _, _, (_, _, queries) in blocks(batches):
-            for a in range(0, len(queries), 64):
-                q = queries[a : a + 64]
-                cols = [pa.array([block] * len(q)), pa.array([k[0] for k in q], pa.int32()), pa.array([k[1] for k in q], pa.int32()), pa.array([k[2] for k in q], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["block", "level", "shard", "blob"])
+        for block, _, _, made in blocks(batches):
+            messages = made.queries()
+            while some := list(islice(messages, 64)):
+                level, shard, blob = zip(*some)
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(some)), pa.array(level, pa.int32()), pa.array(shard, pa.int32()), pa.array(blob, pa.binary())], names=["block", "level", "shard", "blob"])
 
     def keep(batches):
-        for block, part, learn, (n, maps, _) in blocks(batches):
-            cols = [pa.array([block]), pa.array([_pack(n.astype(np.int64), *maps)], pa.binary()), pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type)), pa.array([(~learn).tolist()], pa.list_(pa.bool_()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["block", "blob", "ids", "held"])
+        for block, ids, learn, made in blocks(batches):
+            own = [pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([(~learn).tolist()], pa.list_(pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_pack(*made.maps)], pa.binary()), *own], names=["block", "blob", "ids", "held"])
 
-    # the blocks are cut twice from the same scan rather than kept: `finish` refuses answers that do not fit them
+    def answer(key, group):
+        level, shard = (k.as_py() for k in key)
+        block, blob = zip(*_answer(level, group.column("block").to_pylist(), group.column("blob").to_pylist()))
+        return pa.table({"block": pa.array(block, pa.int64()), "level": pa.array([level] * len(block), pa.int32()), "shard": pa.array([shard] * len(block), pa.int32()), "blob": pa.array(blob, pa.binary())})
+
+    # the blocks are cut twice from the same scan: kept, they would take more disk than the messages
     asked = few.mapInArrow(ask, "block long, level int, shard int, blob binary")
-    told = asked.groupBy("shard").applyInPandas(_answer, "block long, level int, shard int, blob binary")
-    told = written(told, "answers")
+    told = written(asked.groupBy("level", "shard").applyInArrow(answer, "block long, level int, shard int, blob binary"), "answers")
     total = np.zeros(3, np.int64)
     for r in told.where("block = -1").select("blob").collect():  # one row of three sums a shard
         total += _unpack(r["blob"])[0]
     size, kinds, once = total.tolist()
 
-    def finish(d: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        n, *maps = _unpack(d["blob"].iloc[0])
-        a = a.sort_values(["level", "shard"])
-        c = np.concatenate([_unpack(b)[0] for b in a[a["level"] == 1]["blob"]])
-        token_word = maps[0] if order == 1 else maps[1][maps[0]]
-        if order > 1:
-            token_word[maps[-2]] = maps[-1]
-        unknown = min(max(once, 1) / (size + 1), 0.5) if size else 1.0
-        base = np.log10((c + 0.1) / (size + 0.1 * (kinds + 1)))[token_word]
-        p = np.where(c > 0, (1 - unknown) * c / max(size, 1), unknown)[token_word]
-        for level in range(2, order + 1):
-            gram, word, step = maps[3 * level - 6 : 3 * level - 3]
-            owner = np.cumsum(step, dtype=np.int64)
-            prob, weight = [], []
-            for b in a[a["level"] == level]["blob"]:
-                code, backoff, books = _unpack(b)
-                prob.append(np.where(code > 0, 10 ** (books[0] + (code - 1.0) * books[1]), 0.0))
-                weight.append(np.where(backoff > 0, 10 ** (books[2] + (backoff - 1.0) * books[3]), 1.0))
-            prob, weight = np.concatenate(prob), np.concatenate(weight)
-            if len(prob) != len(word) or len(weight) != int(owner[-1]) + 1:
-                raise ValueError("the rows changed between two reads of the input")
-            p = np.minimum(1.0, prob[gram] + weight[owner[gram]] * p)
-        starts = np.cumsum(n) - n
-        return pd.DataFrame({"doc_id": list(d["ids"].iloc[0]), "held_out": list(d["held"].iloc[0]), "n_tokens": n, "n_known": np.add.reduceat((c > 0)[token_word].astype(np.int64), starts), "train_tokens": size, "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(np.log10(p), starts)})
+    def finish(left, right):
+        answers: dict[int, list[bytes]] = {}
+        for level, _, blob in sorted(zip(*(right.column(c).to_pylist() for c in ("level", "shard", "blob")))):
+            answers.setdefault(level, []).append(blob)
+        if left.num_rows != 1 or not answers:
+            raise ValueError("the rows changed between two reads of the input")
+        n, known, base, score = _scores(_unpack(left.column("blob")[0].as_py()), answers, size, kinds, once)
+        ids, held = (left.column(c).combine_chunks().flatten() for c in ("ids", "held"))
+        return pa.table({"doc_id": ids, "held_out": held, "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array(np.full(len(n), size, np.int64)), "base_score": pa.array(base), "score": pa.array(score)})
 
     texts = few.mapInArrow(keep, f"block long, blob binary, ids array<{kind}>, held array<boolean>")
     answers = told.where("block >= 0")
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _bytes(docs: DataFrame) -> int:
+    """The planner's estimate of a frame's bytes; where it has none, the texts are measured."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < 1 << 60:
+        return size
+    return int(docs.agg(F.sum(F.octet_length(F.col(docs.columns[0])))).first()[0] or 0)
 
 
 def op1_elias_fano_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

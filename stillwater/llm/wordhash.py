@@ -48,33 +48,52 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _edges(data: np.ndarray, offsets: np.ndarray, size: int) -> list[int]:
+    """Places, about `size` bytes apart, that lie in no word: behind a text or a white space character."""
+    out, n = [0], len(data)
+    while out[-1] < n:
+        end = min(n, out[-1] + size)
+        text = int(offsets[np.searchsorted(offsets, end)]) if end < n else n
+        while end < text:
+            gap = np.flatnonzero(~_WORD[data[end : min(text, end + 4096)]])
+            if len(gap):
+                text = end + int(gap[0]) + 1
+                break
+            end += 4096
+        out.append(text)
+    return out
+
+
+def words(texts: pa.Array, size: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(lower-cased bytes, word starts, word ends, word hashes, first word of each text and the end).
 
     Words are maximal runs without ASCII white space; A-Z are lower-cased first.
+    Work memory goes with `size`, however long a text is (but a word's bytes are together).
     """
     data, offsets = text_bytes(texts)
     data = _LOWER[data]
-    inside = _WORD[data]
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    cut = offsets[1:-1]
-    cut = cut[cut < len(data)]
-    begins[cut] = inside[cut]
-    starts = np.flatnonzero(begins)
-    ends_at = inside.copy()
-    ends_at[:-1] &= ~inside[1:]
-    cut = cut[cut > 0]
-    ends_at[cut - 1] = inside[cut - 1]
-    ends = np.flatnonzero(ends_at) + 1
-    if len(starts) == 0:
-        return data, starts, ends, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    at = np.flatnonzero(inside)
-    lengths = ends - starts
-    before = np.cumsum(lengths) - lengths
-    place = np.arange(len(at)) - np.repeat(before, lengths)
-    picked = _TABLE.ravel()[(place & (_PLACES - 1)) * 256 + data[at]]
-    hashes = mix(np.add.reduceat(picked, before) + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    edges = _edges(data, offsets, size)
+    starts, ends, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for a, z in zip(edges, edges[1:]):
+        part = data[a:z]
+        inside = _WORD[part]
+        begins, ends_at = inside.copy(), inside.copy()
+        begins[1:] &= ~inside[:-1]
+        ends_at[:-1] &= ~inside[1:]
+        cut = offsets[np.searchsorted(offsets, a, "right") : np.searchsorted(offsets, z)] - a
+        begins[cut] = inside[cut]
+        ends_at[cut - 1] = inside[cut - 1]
+        first, last = np.flatnonzero(begins), np.flatnonzero(ends_at) + 1
+        if len(first) == 0:
+            continue
+        lengths = last - first
+        before = np.cumsum(lengths) - lengths
+        place = np.arange(int(lengths.sum())) - np.repeat(before, lengths)
+        picked = _TABLE.ravel()[(place & (_PLACES - 1)) * 256 + part[inside]]
+        hashes.append(mix(np.add.reduceat(picked, before) + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        starts.append(first + a)
+        ends.append(last + a)
+    starts, ends, hashes = map(np.concatenate, (starts, ends, hashes))
     return data, starts, ends, hashes, np.searchsorted(starts, offsets)
 
 
