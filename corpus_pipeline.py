@@ -20,11 +20,15 @@ from stillwater.llm.suffix_dedup import remove_repeats
 #: Documents whose best profile is further away than this are no text of a known language.
 LEAST_LANGUAGE_SCORE = 0.2
 
+#: Bytes of a repeated string that is cut.  A passage of over 50 words has about 285 bytes, so it holds one.
+PASSAGE_BYTES = 250
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or far from every language's profile, go."""
-    said = identify(docs, train_profiles(docs))
-    return said.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    said = identify(rows, train_profiles(docs))
+    return said.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,14 +37,14 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays."""
-    drop = similar_documents(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, F.col("doc_id") == F.col("_drop"), "left_anti")
+    drop = similar_documents(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.alias("d").join(drop.alias("x"), F.col("d.doc_id") == F.col("x.doc_id"), "left_anti")
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that repeat are cut from the texts; a text that is nothing else becomes empty."""
+    """Strings of PASSAGE_BYTES that repeat are cut from the texts; a text that is nothing else becomes empty."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    cut = remove_repeats(docs, carry=others)
+    cut = remove_repeats(docs, PASSAGE_BYTES, carry=others)
     own = {"doc_id": F.col("doc_id"), "text": F.col("kept_text").alias("text"), "n_chars": F.length("kept_text").cast("long").alias("n_chars")}
     return cut.select(*[own.get(c, F.col(f"carried.{c}")) for c in docs.columns])
 
