@@ -37,7 +37,7 @@ def top_ngrams(text: str | None, size: int) -> np.ndarray:
     if not keep.any():
         return np.zeros(0, np.int64)
     c = np.where(keep, c, 32)
-    c = np.concatenate(([32], c[keep | np.concatenate(([False], keep[:-1]))], [32] if keep[-1] else []))
+    c = np.concatenate(([32], c[keep | np.concatenate(([False], keep[:-1]))], np.full(int(keep[-1]), 32)))
     two = c[:-1] << 21 | c[1:]
     three = two[:-1] << 21 | c[2:]
     codes, n = np.unique_counts(np.concatenate((c[c != 32], two[two != (32 << 21 | 32)], three)))
