@@ -32,8 +32,12 @@ def seen(w: int) -> str:
     return f"least(t, {w})"
 
 
+#: Online steps that a scaled running sum holds for the fastest rate used (0.3): 0.7^-1900 is below the largest double.  stored.py refuses longer series.
+LONGEST = 1900
+
+
 def ewma(expr: str, lam: float, start: float = 0.0) -> str:
-    """y_t = (1-l) y_{t-1} + l x_t from y_0 = start, as a scaled running sum; t stays below 1,000 / l."""
+    """y_t = (1-l) y_{t-1} + l x_t from y_0 = start, as a scaled running sum; (1-l)^-t must be a finite double, see LONGEST."""
     keep = d(1 - lam)
     return f"(power({keep}, t) * ({d(start)} + {cum(f'{d(lam)} * ({expr}) * power({keep}, -t)')}))"
 

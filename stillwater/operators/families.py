@@ -172,8 +172,9 @@ def jumps() -> list[str]:
     return out
 
 
-def bridge_ctes(value: str) -> str:
-    return f"bsum as (select id, t, v, {cum('v')} as s from (select id, t, {value} as v from inn) q)"
+def bridge_ctes(value: str, centre: float) -> str:
+    """Values and their running sum.  The bridge does not see a constant, so values are taken from about their mean and the sum stays small."""
+    return f"bsum as (select id, t, v, {cum('v')} as s from (select id, t, {value} - {d(centre)} as v from inn) q)"
 
 
 def bridge(name: str) -> list[str]:
@@ -186,7 +187,7 @@ def bridge(name: str) -> list[str]:
         p = roll("v", w)
         total = f"({b} - 2 * {s0} * {a} + {n} * {s0} * {s0} - 2 * {p} / {n} * ({k1} - {s0} * {n} * ({n} + 1) / 2) + {p} * {p} * ({n} + 1) * (2 * {n} + 1) / (6 * {n}))"
         var = roll("v", w, "var_pop")
-        out.append(r6(f"case when t >= 20 and {var} > 1e-12 then {total} / ({n} * {n} * {var}) end", _name(f"mrep_{name}", w), 4))
+        out.append(r6(f"case when t >= 20 and {var} > 1e-12 then {total} / ({n} * {n} * {var}) end", _name(f"mrep_{name}", w)))
     return out
 
 

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from stillwater.sources import panels
+from stillwater.sources import stored
 
 LN_2PI = math.log(2 * math.pi)
 
@@ -156,11 +156,12 @@ BLOCKS: dict[str, tuple[tuple[str, ...], Callable[[np.ndarray], object]]] = {
 }
 
 
+RESIDUALS = "select id, 1 as period, cast(t as int) as t, e from ehist union all select id, 2 as period, cast(t as int) as t, e from inn"
+
+
 def residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, period (1 history, 2 online), t, e of every series."""
-    sql = panels.text("select id, 1 as period, cast(t as int) as t, e from ehist union all select id, 2 as period, cast(t as int) as t, e from inn", "spark")
-    sql = sql.replace("{", "{{").replace("}", "}}").replace("from lineitem", "from {lineitem}")
-    return spark.sql(sql, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    return stored.run(spark, sf_dir, RESIDUALS)
 
 
 def run_block(rows: DataFrame, block: str) -> DataFrame:

@@ -7,42 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stillwater.functions.kernels import PART, cum, r6
-from stillwater.operators import bootstrap, evaluation
+from stillwater.operators import bootstrap, calibration, evaluation, history, optional, recursive, reports
 from stillwater.operators import families as f
-from stillwater.operators import optional, recursive
-from stillwater.plans import scoring
-from stillwater.sources import panels
+from stillwater.plans import features, gates, model, scoring
+from stillwater.sources import panels, sinks, stored
 
 
 def _pick(parts: list[str], source: str = "inn", ids: str = "id, t") -> str:
     return f"select {ids}, {', '.join(parts)} from {source}"
 
 
-def _statements() -> dict[str, tuple[str, str]]:
-    """name -> (further CTEs, final select)."""
+def _families() -> dict[str, tuple[str, str]]:
+    """name -> (further CTEs, final select) of the online feature families."""
     cus, conf = f.cusum_ctes(), f.conformal_ctes()
     steps = list(f.cusum_steps())
     age = [f"cast(t - coalesce({cum('z_' + k, 'max')}, 0) as int) as {k.replace('cusum_', 'cusum_age_')}" for k in f.AGED]
-    haar, energies = f.haar()
+    haar, _ = f.haar()
     joins = " ".join(f"left join g{j} on i.id = g{j}.id and cast(floor(i.t / {2**j}) as int) = g{j}.k" for j in range(1, 6))
-    out = {
-        "scan_panel": ("", "select id, tt as time, period, round(x, 6) as value from panel"),
-        "label_break": ("", "select id, t, y from inn"),
-        "thin_rows": ("", "select id, t, y, case when t <= 100 then 1 when t <= 400 then 2 else 4 end as thin_weight from inn where t <= 100 or (t <= 400 and t % 2 = 0) or t % 4 = 0"),
-        "h0_moments": ("", "select id, n_h, round(mu0, 6) as mu0, round(sigma0, 6) as sigma0, round(sigma_e, 6) as sigma_e from h0"),
-        "h0_ar1": ("", "select id, round(c, 6) as c, round(phi, 6) as phi, round(ar_r2, 6) as ar_r2 from h0"),
-        "h0_quantiles": ("", "select id, round(q10, 6) as q10, round(q25, 6) as q25, round(q50, 6) as q50, round(q75, 6) as q75, round(q90, 6) as q90, round(qa95, 6) as qa95, round(qa99, 6) as qa99 from h0"),
-        "h0_dependence": ("", "select id, round(rho1_e, 6) as rho1_e, round(rho1_abs_e, 6) as rho1_abs_e, round(sigma_u, 6) as sigma_u from h0"),
-        "h0_tail": ("", "select id, round(case when m4 / (m2 * m2) - 3 <= 0 then 50e0 else greatest(5e0, least(50e0, 4 + 6 / (m4 / (m2 * m2) - 3))) end, 6) as nu_hat from h0"),
-        "h0_robust_scale": ("med as (select id, {pct}(r, 0.5) as m from resid group by id)", "select r.id, round(1.4826e0 * {pct}(abs(r.r - m.m), 0.5), 6) as sigma_e_rob from resid r join med m on r.id = m.id group by r.id"),
-        "fingerprint_hill": ("ord as (select id, abs(e) as a, row_number() over (partition by id order by abs(e) desc) as k, greatest(10, cast(floor(0.05e0 * count(*) over (partition by id)) as int)) as m from ehist), cut as (select id, a as floor_a from ord where k = m + 1)", "select o.id, round(avg(ln(o.a / c.floor_a)), 6) as hill_xi from ord o join cut c on o.id = c.id where o.k <= o.m and c.floor_a > 0 group by o.id"),
-        "fingerprint_hurst": (
-            "sizes as (select 1 as m union all select 2 union all select 4 union all select 8 union all select 16), rn as (select id, e, row_number() over (partition by id order by t) - 1 as i, count(*) over (partition by id) as n from ehist), blk as (select id, m, cast(floor(i / m) as int) as b, avg(e) as a, count(*) as c, max(n) as n from rn cross join sizes group by id, m, cast(floor(i / m) as int)), vm as (select id, m, var_samp(a) as v, count(*) as nb from blk where c = m group by id, m having count(*) >= 8)",
-            "select id, round(case when count(*) >= 3 then 1 + regr_slope(ln(v), ln(cast(m as double))) / 2 else 0.5e0 end, 6) as hurst from vm where v > 0 group by id",
-        ),
-        "fingerprint_volvol": (f"rb as (select id, e, cast(floor((row_number() over ({PART}) - 1) / 50) as int) as b from ehist), bv as (select id, b, var_samp(e) as v from rb group by id, b having count(*) = 50)", "select id, round(stddev_samp(v) / avg(v), 6) as volvol from bv group by id"),
-        "whiten": ("", "select id, t, round(e_raw, 6) as e_raw, round(e, 6) as e from inn"),
-        "vol_adjust": ("", "select id, t, round(e_vol, 6) as e_vol from inn"),
+    return {
         "accum_mean": ("", _pick(f.accum_mean())),
         "accum_var": ("", _pick(f.accum_var())),
         "accum_exceed": ("", _pick(f.accum_exceed())),
@@ -60,30 +42,48 @@ def _statements() -> dict[str, tuple[str, str]]:
         "dep_mass_evol": (f.dependence_from("e_vol"), _pick(f.dependence_mass("evol"), "lagd")),
         "varloc": ("", _pick(f.varloc())),
         "jumps": ("", _pick(f.jumps())),
-        "kpss_bridge_level": (f.bridge_ctes("e"), _pick(f.bridge("level"), "bsum")),
-        "kpss_bridge_scale": (f.bridge_ctes("e2"), _pick(f.bridge("scale"), "bsum")),
+        "kpss_bridge_level": (f.bridge_ctes("e", 0), _pick(f.bridge("level"), "bsum")),
+        "kpss_bridge_scale": (f.bridge_ctes("e2", 1), _pick(f.bridge("scale"), "bsum")),
         "haar_energy": (haar, f"select i.id, i.t, {', '.join(f'case when floor(i.t / {2**j}) >= 3 then round(ln(greatest(g{j}.g, 1e-12)), 6) end as haar_energy_ln_s{j - 1}' for j in range(1, 6))} from inn i {joins}"),
         "hedge": ("", _pick(f.hedge())),
+    }
+
+
+def _statements(dialect: str) -> dict[str, tuple[str, str]]:
+    cus, conf = f.cusum_ctes(), f.conformal_ctes()
+    steps = list(f.cusum_steps())
+    families = _families() | optional.statements(dialect)
+    return {
+        "scan_panel": ("", "select id, tt as time, period, round(x, 6) as value from panel"),
+        "held_out_panel": ("", f"select id, t - 1 as time, round(x, 6) as value, y as target from online where id in (select id from panel where period = 1 group by id having count(*) >= {panels.LEAST_HISTORY})"),
+        "label_break": ("", "select id, t, y from online"),
+        "thin_rows": ("", "select id, t, y, case when t <= 100 then 1 when t <= 400 then 2 else 4 end as thin_weight from online where t <= 100 or (t <= 400 and t % 2 = 0) or t % 4 = 0"),
+        "whiten": ("", "select id, t, round(e_raw, 6) + 0e0 as e_raw, round(e, 6) + 0e0 as e from inn"),
+        "vol_adjust": ("", "select id, t, round(e_vol, 6) + 0e0 as e_vol from inn"),
         "null_calibrate": (
-            "hv as (select id, t, ln(greatest(avg(e * e) over (partition by id order by t rows between 49 preceding and current row), 1e-12)) as s, row_number() over (partition by id order by t) as k from ehist), nul as (select id, avg(s) as mu, stddev_samp(s) as sd, cast(count(*) as double) / 50 as n_eff from hv where k >= 50 group by id), sp as (select id, n_eff / (n_eff + 10) * mu + 10 / (n_eff + 10) * (-0.02e0) as mu, sqrt(n_eff / (n_eff + 10) * sd * sd + 10 / (n_eff + 10) * 0.04e0) as sd from nul), "
-            "raw as (select id, t, ln(greatest(avg(e2) over (partition by id order by t rows between 49 preceding and current row), 1e-12)) as s from inn)",
+            f"hv as (select id, t, ln(greatest(avg(e * e) over ({PART} rows between 49 preceding and current row), 1e-12)) as s, row_number() over ({PART}) as k from ehist), nul as (select id, avg(s) as mu, stddev_samp(s) as sd, cast(count(*) as double) / 50 as n_eff from hv where k >= 50 group by id), sp as (select id, n_eff / (n_eff + 10) * mu + 10 / (n_eff + 10) * (-0.02e0) as mu, sqrt(n_eff / (n_eff + 10) * sd * sd + 10 / (n_eff + 10) * 0.04e0) as sd from nul), "
+            f"raw as (select id, t, ln(greatest(avg(e2) over ({PART} rows between 49 preceding and current row), 1e-12)) as s from inn)",
             "select r.id, r.t, case when r.t >= 10 then round((r.s - p.mu) / p.sd, 6) end as accum_window_var_ln_w050_cal from raw r join sp p on r.id = p.id",
         ),
-        "fallback_score": (f"{cus}, {conf}, {evaluation.SCORES}", f"select c.id, c.t, s.y, round(1 / (1 + exp(-(0.4e0 * sqrt(2 * greatest({', '.join('c.' + k for k in steps)})) + 0.3e0 * ({f._logsum([f'l.s_{i}' for i in range(4)])})))), 6) as score from cus c join low l on c.id = l.id and c.t = l.t join scores s on c.id = s.id and c.t = s.t"),
-    }
-    return out | {k: evaluation.statement(k) for k in evaluation.QUERIES}
+        "fallback_score": (f"{cus}, {conf}", f"select c.id, c.t, s.y, round(1 / (1 + exp(-(0.4e0 * sqrt(2 * greatest({', '.join('c.' + k for k in steps)})) + 0.3e0 * ({f._logsum([f'l.s_{i}' for i in range(4)])})))), 6) as score from cus c join low l on c.id = l.id and c.t = l.t join scores s on c.id = s.id and c.t = s.t"),
+        **families, **history.statements(), **evaluation.QUERIES, **reports.QUERIES, **calibration.statements(dialect),
+        "feature_row": features.feature_row(families),
+        "training_rows": features.training_rows(families),
+    }
 
 
 def _query(name: str, more: str, body: str) -> Callable[[SparkSession, str], DataFrame]:
-    sql = panels.text(body, "spark", more).replace("{", "{{").replace("}", "}}").replace("from lineitem", "from {lineitem}")
-
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(sql, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+        return stored.run(spark, sf_dir, body, more)
 
     run.__name__ = name
     return run
 
 
-_ALL = _statements()
-QUERIES = {name: _query(name, *parts) for name, parts in (_ALL | optional.statements("spark")).items()} | {"bootstrap_ci": bootstrap.bootstrap_ci} | recursive.QUERIES | scoring.QUERIES
-SQL = {name: panels.text(body, "duckdb", more) for name, (more, body) in (_ALL | optional.statements("duckdb")).items()}
+_SPARK, _ORACLE = _statements("spark"), _statements("duckdb") | {"fingerprint_spectral": history.SPECTRAL}
+QUERIES = (
+    {name: _query(name, *parts) for name, parts in _SPARK.items()}
+    | {"bootstrap_ci": bootstrap.bootstrap_ci, "adoption_rule": bootstrap.adoption_rule, "fingerprint_spectral": history.spectral_slope}
+    | recursive.QUERIES | scoring.QUERIES | model.QUERIES | gates.QUERIES | sinks.QUERIES
+)
+SQL = {name: panels.statement(body, "duckdb", more) for name, (more, body) in _ORACLE.items()} | {name: panels.statement(body, "duckdb", more) for name, (more, body) in (sinks.ORACLE | model.ORACLE).items()}

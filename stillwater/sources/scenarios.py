@@ -18,40 +18,51 @@ SCENARIOS = {
 }
 
 
-def _ar(rng: np.random.RandomState, phi: np.ndarray) -> np.ndarray:
-    """Unit-variance autoregression whose coefficient may change."""
+def _ar(rng: np.random.RandomState, phi: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Autoregression from zero whose coefficient and innovations' spread may change."""
     noise, out, last = rng.standard_normal(len(phi)), np.zeros(len(phi)), 0.0
-    for i, p in enumerate(phi):
-        out[i] = last = p * last + np.sqrt(1 - p * p) * noise[i]
+    for i, (p, s) in enumerate(zip(phi, spread)):
+        out[i] = last = p * last + s * noise[i]
     return out
 
 
-def _garch(rng: np.random.RandomState, n: int, base: float = 0.05, news: float = 0.10, keep: float = 0.85) -> np.ndarray:
-    noise, out, var, last = rng.standard_normal(n), np.zeros(n), base / (1 - news - keep), 0.0
-    for i in range(n):
+def _garch(rng: np.random.RandomState, n: int, base: float = 0.05, news: float = 0.10, keep: float = 0.85, burn: int = 200) -> np.ndarray:
+    noise, out, var, last = rng.standard_normal(burn + n), np.zeros(burn + n), base / (1 - news - keep), 0.0
+    for i in range(burn + n):
         if i:
             var = base + news * last * last + keep * var
         out[i] = last = np.sqrt(var) * noise[i]
-    return out
+    return out[burn:]
+
+
+def reference_panel(name: str, seed: int) -> tuple[np.ndarray, np.ndarray, None]:
+    """Independent normal history and online part of the scenario's length: what the relative gates compare with."""
+    rng = np.random.RandomState(seed)
+    return rng.standard_normal(HISTORY), rng.standard_normal(SCENARIOS[name][0]), None
 
 
 def generate(name: str, seed: int) -> tuple[np.ndarray, np.ndarray, int | None]:
-    """(history, online, first changed step from 1, or None); the suffix `_ctrl` gives the twin without the effect."""
+    """(history, online, first changed step from 1, or None).
+
+    The suffix `_ctrl` gives the twin without the change; a scenario that has
+    none (t6, t9, t10, t12, t12b, t13) is its own twin.  `_ref` gives the
+    reference panel.  Effects follow their definitions; the order of random draws is our own.
+    """
+    if name.endswith("_ref"):
+        return reference_panel(name.removesuffix("_ref"), seed)
     control, name = name.endswith("_ctrl"), name.removesuffix("_ctrl")
     n, tau, effect = SCENARIOS[name]
     rng, t = np.random.RandomState(seed), np.arange(1, n + 1)
     after = np.zeros(n, bool) if control or tau is None else t >= tau
     if effect == "garch":
-        x = rng.standard_normal(HISTORY + n) if control else _garch(rng, HISTORY + n)
-        return x[:HISTORY], x[HISTORY:], None
-    if effect == "ar":
-        x = _ar(rng, np.concatenate((np.full(HISTORY, 0.2), np.where(after, 0.6, 0.2))))
+        return _garch(rng, HISTORY), _garch(rng, n), None
+    if effect == "ar":  # innovations of 1 before; after, what leaves the variance as it was
+        phi, late = np.concatenate((np.full(HISTORY, 0.2), np.where(after, 0.6, 0.2))), np.concatenate((np.zeros(HISTORY, bool), after))
+        x = _ar(rng, phi, np.where(late, np.sqrt((1 - 0.6**2) / (1 - 0.2**2)), 1.0))
         return x[:HISTORY], x[HISTORY:], None if control else tau
     history, x = rng.standard_normal(HISTORY), rng.standard_normal(n)
-    if effect == "sine":
-        wave = 0.0 if control else np.sin(2 * np.pi * np.arange(HISTORY + n) / 50)
-        both = wave + 0.5 * np.concatenate((history, x))
-        return both[:HISTORY], both[HISTORY:], None
+    if effect == "sine":  # the phase begins anew online
+        return np.sin(2 * np.pi * np.arange(HISTORY) / 50) + 0.5 * history, np.sin(2 * np.pi * (t - 1) / 50) + 0.5 * x, None
     if effect.startswith("mean"):
         x = x + float(effect.split("+")[1]) * after
     elif effect == "sd x1.5":
@@ -60,13 +71,13 @@ def generate(name: str, seed: int) -> tuple[np.ndarray, np.ndarray, int | None]:
         x = np.where(after, x * (1 + 0.5 * np.clip((t - tau) / 200, 0, 1)), x)
     elif effect == "heavy tail":
         x = np.where(after, rng.standard_t(4, n) / np.sqrt(2), x)
-    elif not control and effect == "outliers":
-        x[[49, 179, 419, 699]] = [6.0, -6.0, 6.0, -6.0]
-    elif not control and effect == "tiny":
+    elif effect == "outliers":
+        x[[49, 179, 419, 699]] = 6.0 * rng.choice([-1.0, 1.0], 4)
+    elif effect == "tiny":
         history, x = history * 1e-6, x * 1e-6
-    elif not control and effect == "alternation":
+    elif effect == "alternation":
         history, x = 10.0 * (1 - 2 * (np.arange(HISTORY) % 2)) + 0.1 * history, 10.0 * (1 - 2 * (np.arange(n) % 2)) + 0.1 * x
-    elif not control and effect == "transient":
+    elif effect == "transient":
         x = x + ((t >= 200) & (t <= 260))
     return history, x, None if control else tau
 
