@@ -172,7 +172,7 @@ def jumps() -> list[str]:
     return out
 
 
-def bridge_ctes(value: str, centre: float) -> str:
+def bridge_ctes(value: str, centre: float = 0.0) -> str:
     """Values and their running sum.  The bridge does not see a constant, so values are taken from about their mean and the sum stays small."""
     return f"bsum as (select id, t, v, {cum('v')} as s from (select id, t, {value} - {d(centre)} as v from inn) q)"
 

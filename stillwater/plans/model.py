@@ -24,7 +24,7 @@ from stillwater.operators import families as f
 from stillwater.plans.features import names_of
 from stillwater.sources import stored
 
-BINS = 32
+BINS, FINE = 32, 2.0**20
 _BODY = f"select id, t, {', '.join(f.accum_mean() + f.accum_var() + f.accum_exceed() + f.accum_sign() + f.accum_shape() + f.varloc())} from inn"
 FEATURES = sorted(names_of(_BODY))
 
@@ -148,9 +148,12 @@ def train(rows: DataFrame, features: list[str], folds: int = 5, rounds: int = 8,
             at = np.argwhere(np.abs(total).sum(1) > 0)
             cols = [at[:, 0], at[:, 1], total[at[:, 0], 0, at[:, 1]], total[at[:, 0], 1, at[:, 1]]]
             cols = [np.concatenate((c, x)) for c, x in zip(cols, (np.arange(folds), np.full(folds, -1), loss[:, 0], loss[:, 1]))]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2]), pa.array(cols[3])], names=["model", "cell", "g", "h"])
+            # in steps of 2^-20, so that the tasks' sums add up to the same however they arrive
+            fixed = [pa.array(np.rint(np.asarray(c, float) * FINE).astype(np.int64)) for c in cols[2:]]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *fixed], names=["model", "cell", "g", "h"])
 
-        got = binned.mapInArrow(partial, "model int, cell long, g double, h double").groupBy("model", "cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+        exact = lambda c: (F.sum(F.col(c).cast("decimal(28,0)")).cast("double") / FINE).alias(c)
+        got = binned.mapInArrow(partial, "model int, cell long, g long, h long").groupBy("model", "cell").agg(exact("g"), exact("h"))
         out = {m: (np.zeros((2, nodes, width, BINS)), [0.0, 0.0]) for m in range(folds)}
         for r in got.collect():  # models x nodes x features x bins rows at most
             if r["cell"] < 0:

@@ -4,6 +4,7 @@ import pytest
 
 from stillwater.operators import bootstrap, evaluation
 from stillwater.plans import catalog
+from stillwater.sources import stored
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,8 +31,7 @@ def test_draws_are_samples_with_replacement():
 
 
 def test_bootstrap_equals_repeated_rows(spark):
-    sql = catalog.panels.text("select id, t, y, bucket, score_a, score_b from scores", "spark", evaluation.SCORES).replace("from lineitem", "from {lineitem}")
-    rows = spark.sql(sql, lineitem=spark.read.parquet(f"{SF}/lineitem.parquet")).toPandas()
+    rows = stored.run(spark, SF, "select id, t, y, bucket, score_a, score_b from scores").toPandas()
     ids = sorted(rows.id.unique())
     mult = bootstrap.multiplicities(len(ids), 12)
     got = bootstrap.bootstrap_ci(spark, SF, replicates=12).toPandas().set_index("bucket")

@@ -3,6 +3,7 @@ import pytest
 
 from stillwater.functions import kernels as k
 from stillwater.plans import catalog
+from stillwater.sources import stored
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,8 +52,8 @@ def test_bridge_equals_direct_formula(spark):
 def test_scores_are_causal(spark):
     """Cutting the future off changes nothing before the cut."""
     whole = catalog.QUERIES["cusum_bank"](spark, SF).where("t <= 40").toPandas().sort_values(["id", "t"]).reset_index(drop=True)
-    sql = catalog.panels.text("select id, t, cusum_sign_pos from cus where t <= 40", "spark", catalog.f.cusum_ctes()).replace("select l_suppkey as id, cast(row", "select * from (select l_suppkey as id, cast(row", 1).replace("as x0 from lineitem", "as x0 from {lineitem}) z where tt <= 340", 1)
-    part = spark.sql(sql, lineitem=spark.read.parquet(f"{SF}/lineitem.parquet")).toPandas().sort_values(["id", "t"]).reset_index(drop=True)
+    cut = stored.Panel(stored.run(spark, SF, "select * from panel where tt <= 340"))
+    part = cut.run("select id, t, cusum_sign_pos from cus where t <= 40", catalog.f.cusum_ctes()).toPandas().sort_values(["id", "t"]).reset_index(drop=True)
     m = whole.merge(part, on=["id", "t"])
     assert len(m) and np.allclose(m["cusum_sign_pos_x"].round(6), m["cusum_sign_pos_y"].round(6))
 
