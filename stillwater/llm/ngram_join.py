@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, table, written
-from .wordhash import mix, slices, words
+from .wordhash import mix, slices, word_hashes
 
 WORDS_OF_SKETCH = 16
 ORDERS = 8  # random orders of keys under which a document's first key is kept
@@ -43,7 +43,7 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 
 def shingle_sets(texts: pa.Array, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct n-gram hashes of each text end to end, offsets).  Fewer than n words make one element; none, no element."""
-    _, _, _, h, first = words(texts)
+    h, first = word_hashes(texts)
     count = np.diff(first)
     total = max(0, len(h) - n + 1)
     acc = np.zeros(total, np.uint64)

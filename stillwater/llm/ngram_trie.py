@@ -22,6 +22,7 @@ there alone, removed when the task ends and built again when the task runs again
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 from itertools import islice
@@ -35,12 +36,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .wordhash import mix, slices, words
+from .wordhash import mix, slices, word_hashes, words  # noqa: F401
 
 END, BEGIN = np.uint64(0x1F3A5C7E9B2D4F60), np.uint64(0x2E4C6A8B0D1F3E5C)
 DISCOUNT = 0.95
 _LOW = np.uint64(0xFFFFFFFF)
-_INNER = np.uint32(0xFFFFFF)  # of a context's inner words 24 bits are kept, beside 32 of its first and those that chose the shard
+_INNER = np.uint32(0xFFFFFF)  # from level 3 on, words behind the first are named by 24 bits: few words follow one context
 _HALF = np.uint64(32)
 
 
@@ -209,26 +210,37 @@ def _runs(keys: np.ndarray):
 
 
 def _numbered(keys: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place of each key among the sorted distinct ones of keys and more, those): a hash table finds them, only they are sorted."""
-    code, kinds = pd.factorize(keys)
-    kinds = np.concatenate((kinds, [m for m in more if not (kinds == m).any()])).astype(np.int64)
-    rank = np.argsort(kinds)
-    place = np.empty(len(kinds), np.int64)
-    place[rank] = np.arange(len(kinds))
-    return place[code], kinds[rank]
+    """(place of each key among the sorted distinct ones of keys and more, those)."""
+    n = len(keys)
+    if len(more):
+        keys = np.concatenate((keys, more))
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return place[:n], keys[new]
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: a worker lives on, and what it keeps adds to the next stage's."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the GNU C library has it
+        trim(0)
 
 
 class _Block:
     """The n-grams of a block of texts.
 
-    queries(): (level, shard, blob) messages.  maps: what turns their answers,
+    queries(): (level, shard, blob) messages.  maps(): what turns their answers,
     one shard's behind another's, into sums per text.  Words ask with their
     successors: a message of level 2 holds the words of a shard, their counts,
     and what follows each.
     """
 
     def __init__(self, texts: pa.Array, train: np.ndarray, order: int, shards: int):
-        _, _, _, h, first = words(texts)
+        h, first = word_hashes(texts)
         n = np.diff(first) + 1
         ends = np.cumsum(n) - 1
         begins = ends - n + 1
@@ -279,9 +291,13 @@ class _Block:
             self.tree.append((owner, last))
             if len(empty):
                 blank = int(np.searchsorted(grams, empty[0]))
+        self.n, self.links, self.places = n, maps, (above, node)
+
+    def maps(self) -> list[np.ndarray]:
+        above, node = self.places
         # sums need no order inside a text: sorted places in steps compress well
-        flat = np.sort(np.repeat(np.arange(len(n)), n) << 32 | above[node]) & 0xFFFFFFFF
-        self.maps = [n.astype(np.int64), np.diff(flat, prepend=0).astype(np.uint32), *maps]
+        flat = np.sort(np.repeat(np.arange(len(self.n)), self.n) << 32 | above[node]) & 0xFFFFFFFF
+        return [self.n.astype(np.int64), np.diff(flat, prepend=0).astype(np.uint32), *self.links]
 
     def queries(self):
         low = (self.w & _LOW).astype(np.uint32)
@@ -291,7 +307,7 @@ class _Block:
                 yield 2, s, _pack(self.w[a:b], counts[a:b])
         for level, cs, cshard, sizes, perm, last, node in self.asked:
             times = np.bincount(node[self.learn], minlength=len(last)).astype(np.uint32)[perm]
-            successors, edge = low[last[perm]], np.concatenate(([0], np.cumsum(sizes)))
+            successors, edge = (low if level == 2 else low & _INNER)[last[perm]], np.concatenate(([0], np.cumsum(sizes)))
             for s, a, b in _runs(cshard):
                 x, y = edge[a], edge[b]
                 first = [self.w[a:b], counts[a:b]] if level == 2 else self._nested(cs[a:b], low, level)
@@ -346,6 +362,7 @@ def _answer(level: int, blocks: list[int], blobs: list[bytes]):
         ids |= column
         del column
         ids, nodes = _numbered(ids, np.zeros(0, np.int64))
+        ids = ids.astype(np.int64)
         levels.append(nodes)
     total = np.bincount(ids, np.concatenate(counts), minlength=len(levels[-1])).astype(np.int64)
     trie = Trie(levels, total)
@@ -379,20 +396,20 @@ def _scores(maps: list[np.ndarray], answers: dict[int, list[bytes]], size: int,
     return [n, *(np.add.reduceat(x[at], starts) for x in (known, base, np.log10(p)))]
 
 
-def score_texts(docs: DataFrame, train, order: int = 2, shards: int | None = None, block_bytes: int = 16 << 20, shard_bytes: int = 4 << 20, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def score_texts(docs: DataFrame, train, order: int = 2, shards: int | None = None, block_bytes: int = 12 << 20, shard_bytes: int = 4 << 20, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     train: a boolean column; rows where it is true are learnt from (null: not).
     A null or blank text is the end token alone.  Rows that repeat are learnt from
     and scored each.  Without training rows all tokens are unknown and share one
     class.  Other columns are ignored, whatever their names.  Words that follow
-    the same context are told apart by 32 bits of their hash in `score`, a level 2
-    context by 64 bits and a longer one by 32 of its first word, 24 of each other
-    one and its shard; n_known and base_score go by the 64-bit hash.
+    the same context are told apart in `score` by 32 bits of their hash behind one
+    word and by 24 behind more; a context of one word is known by 64 bits, a longer
+    one by 32 of its first word, 24 of each other one and its shard; n_known and base_score go by the 64-bit hash.
     """
     spark = docs.sparkSession
     if shards is None:
-        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_bytes(docs.select(text_col)) // shard_bytes))
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_bytes(docs) // shard_bytes))
     kind = docs.schema[id_col].dataType.simpleString()
     few = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"), F.coalesce(train, F.lit(False)).alias("l"))
 
@@ -403,6 +420,7 @@ def score_texts(docs: DataFrame, train, order: int = 2, shards: int | None = Non
                 ids, learn = b.column(0).slice(x, y - x), np.asarray(b.column(2).slice(x, y - x).to_numpy(zero_copy_only=False), bool)
                 yield block, ids, learn, _Block(b.column(1).slice(x, y - x), learn, order, shards)
                 block += 1
+                _give_back()
 
     def ask(batches):
         for block, _, _, made in blocks(batches):
@@ -414,11 +432,12 @@ def score_texts(docs: DataFrame, train, order: int = 2, shards: int | None = Non
     def keep(batches):
         for block, ids, learn, made in blocks(batches):
             own = [pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([(~learn).tolist()], pa.list_(pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_pack(*made.maps)], pa.binary()), *own], names=["block", "blob", "ids", "held"])
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_pack(*made.maps())], pa.binary()), *own], names=["block", "blob", "ids", "held"])
 
     def answer(key, group):
         level, shard = (k.as_py() for k in key)
         block, blob = zip(*_answer(level, group.column("block").to_pylist(), group.column("blob").to_pylist()))
+        _give_back()
         return pa.table({"block": pa.array(block, pa.int64()), "level": pa.array([level] * len(block), pa.int32()), "shard": pa.array([shard] * len(block), pa.int32()), "blob": pa.array(blob, pa.binary())})
 
     # the blocks are cut twice from the same scan: kept, they would take more disk than the messages
@@ -436,6 +455,7 @@ def score_texts(docs: DataFrame, train, order: int = 2, shards: int | None = Non
         if left.num_rows != 1 or not answers:
             raise ValueError("the rows changed between two reads of the input")
         n, known, base, score = _scores(_unpack(left.column("blob")[0].as_py()), answers, size, kinds, once)
+        _give_back()
         ids, held = (left.column(c).combine_chunks().flatten() for c in ("ids", "held"))
         return pa.table({"doc_id": ids, "held_out": held, "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array(np.full(len(n), size, np.int64)), "base_score": pa.array(base), "score": pa.array(score)})
 
@@ -445,11 +465,11 @@ def score_texts(docs: DataFrame, train, order: int = 2, shards: int | None = Non
 
 
 def _bytes(docs: DataFrame) -> int:
-    """The planner's estimate of a frame's bytes; where it has none, the texts are measured."""
+    """The planner's estimate of a frame's bytes; where it has none, the rows are measured."""
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if size < 1 << 60:
         return size
-    return int(docs.agg(F.sum(F.octet_length(F.col(docs.columns[0])))).first()[0] or 0)
+    return int(docs.select(F.struct(*docs.columns).cast("string").alias("row")).agg(F.sum(F.octet_length("row"))).first()[0] or 0)
 
 
 def op1_elias_fano_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

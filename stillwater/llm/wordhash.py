@@ -64,16 +64,9 @@ def _edges(data: np.ndarray, offsets: np.ndarray, size: int) -> list[int]:
     return out
 
 
-def words(texts: pa.Array, size: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(lower-cased bytes, word starts, word ends, word hashes, first word of each text and the end).
-
-    Words are maximal runs without ASCII white space; A-Z are lower-cased first.
-    Work memory goes with `size`, however long a text is (but a word's bytes are together).
-    """
-    data, offsets = text_bytes(texts)
-    data = _LOWER[data]
+def _parts(data: np.ndarray, offsets: np.ndarray, size: int):
+    """(word starts, word ends, word hashes) of one stretch of bytes after another."""
     edges = _edges(data, offsets, size)
-    starts, ends, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for a, z in zip(edges, edges[1:]):
         part = data[a:z]
         inside = _WORD[part]
@@ -90,13 +83,36 @@ def words(texts: pa.Array, size: int = 1 << 20) -> tuple[np.ndarray, np.ndarray,
         before = np.cumsum(lengths) - lengths
         place = np.arange(int(lengths.sum())) - np.repeat(before, lengths)
         picked = _TABLE.ravel()[(place & (_PLACES - 1)) * 256 + part[inside]]
-        hashes.append(mix(np.add.reduceat(picked, before) + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-        starts.append(first + a)
-        ends.append(last + a)
-    starts, ends, hashes = map(np.concatenate, (starts, ends, hashes))
+        yield first + a, last + a, mix(np.add.reduceat(picked, before) + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def words(texts: pa.Array, size: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-cased bytes, word starts, word ends, word hashes, first word of each text and the end).
+
+    Words are maximal runs without ASCII white space; A-Z are lower-cased first.
+    Work memory goes with `size`, however long a text is (but a word's bytes are together).
+    """
+    data, offsets = text_bytes(texts)
+    data = _LOWER[data]
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)), *_parts(data, offsets, size)]
+    starts, ends, hashes = map(np.concatenate, zip(*parts))
     return data, starts, ends, hashes, np.searchsorted(starts, offsets)
 
 
+def word_hashes(texts: pa.Array, size: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes, first word of each text and the end) alone: the places of words are let go."""
+    data, offsets = text_bytes(texts)
+    data = _LOWER[data]
+    hashes, first, seen, at = [np.zeros(0, np.uint64)], np.zeros(len(offsets), np.int64), 0, 0
+    for starts, _, h in _parts(data, offsets, size):
+        until = np.searchsorted(offsets, starts[-1], "right")
+        first[at:until] = seen + np.searchsorted(starts, offsets[at:until])
+        at, seen = until, seen + len(h)
+        hashes.append(h)
+    first[at:] = seen
+    return np.concatenate(hashes), first
+
+
 def slices(texts: pa.Array, most: int = 4 << 20):
     """Ranges of rows whose texts have about `most` bytes together, so that work memory stays bounded."""
     lengths = np.asarray(pc.binary_length(texts.cast(pa.large_string())).fill_null(0))
