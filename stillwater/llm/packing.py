@@ -132,7 +132,10 @@ def pack_histogram(counts: dict[int, int], capacity: int, node_limit: int | None
     best = best_fit_decreasing(counts, capacity)
     state = {"bins": sum(t for _, t in best), "plan": best, "nodes": node_limit}
 
-    def search(left: dict[int, int], plan: list, bins: int, waste: int) -> None:
+    frames: list[tuple] = []  # a dive's open nodes: counts left, bins and waste so far, whether items go one by one, fillings to try
+    plan: list[tuple[Pattern, int]] = []
+
+    def visit(left: dict[int, int], bins: int, waste: int) -> None:
         if state["bins"] <= least or state["nodes"] <= 0:
             return
         if not left:
@@ -143,23 +146,25 @@ def pack_histogram(counts: dict[int, int], capacity: int, node_limit: int | None
         if -(-(total + waste) // capacity) >= state["bins"] or bins - (-sum(k * n for k, n in left.items()) // capacity) >= state["bins"]:
             return
         single = sum(left.values()) <= exact_items
-        for more, pattern in fillings(left, max(left), capacity, width if not single else 8 * width):
-            times = 1 if single else min(left[k] // n for k, n in pattern)
-            rest = dict(left)
-            for k, n in pattern:
-                rest[k] -= n * times
-                if not rest[k]:
-                    del rest[k]
-            plan.append((pattern, times))
-            search(rest, plan, bins + times, waste + more * times)
-            plan.pop()
-            if state["bins"] <= least or state["nodes"] <= 0:
-                return
-
-    import sys
-
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000, 2 * node_limit))
-    search(counts, [], 0, 0)
+        frames.append((left, bins, waste, single, iter(fillings(left, max(left), capacity, width if not single else 8 * width))))
+
+    visit(counts, 0, 0)
+    while frames and state["bins"] > least and state["nodes"] > 0:
+        left, bins, waste, single, options = frames[-1]
+        option = next(options, None)
+        if option is None:
+            frames.pop()
+            continue
+        more, pattern = option
+        times = 1 if single else min(left[k] // n for k, n in pattern)
+        rest = dict(left)
+        for k, n in pattern:
+            rest[k] -= n * times
+            if not rest[k]:
+                del rest[k]
+        del plan[len(frames) - 1 :]
+        plan.append((pattern, times))
+        visit(rest, bins + times, waste + more * times)
     return state["plan"]
 
 
