@@ -31,6 +31,14 @@ def split_url(url) -> tuple[F.Column, F.Column]:
     return F.coalesce(lower, F.lit("")), F.coalesce(path, F.lit(""))
 
 
+def two_label_suffixes(rows: DataFrame, column: str = "suffix", most: int = 20_000) -> tuple[str, ...]:
+    """The suffixes of two labels that a table lists, for `two_label`; nulls and suffixes of other lengths are passed over.  A list over `most` is an error."""
+    found = rows.select(F.lower(F.col(column)).alias("s")).where(F.size(F.split("s", r"\.")) == 2).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"over {most} suffixes")
+    return tuple(sorted(r["s"] for r in found))
+
+
 def suffix_of(host, two_label=TWO_LABEL_SUFFIXES) -> F.Column:
     two = F.substring_index(host, ".", -2)
     return F.when(two.isin(*two_label), two).otherwise(F.substring_index(host, ".", -1))
@@ -88,7 +96,7 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645, two_label=TWO_LABEL_S
     return h.select("host", "n", "bad", "mean", F.greatest(F.lit(0.0), F.col("mean") - z * F.col("sd")).alias("lower"), F.least(F.lit(1.0), F.col("mean") + z * F.col("sd")).alias("upper"))
 
 
-def judge_urls(pages: DataFrame, rules=RULES, outcomes: DataFrame | None = None, block_above: float = 0.5, z: float = 1.645, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, outcomes: DataFrame | None = None, block_above: float = 0.5, z: float = 1.645, id_col: str = "page_id", url_col: str = "url", two_label=TWO_LABEL_SUFFIXES) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, bad_lower.
 
     outcomes (host, bad): labelled pages; where none are given, the pages that a
@@ -101,7 +109,7 @@ def judge_urls(pages: DataFrame, rules=RULES, outcomes: DataFrame | None = None,
     rows = apply_rules(pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")), rules)
     if outcomes is None:
         outcomes = rows.where("rule_verdict is not null").select("host", (F.col("rule_verdict") == "block").cast("int").alias("bad"))
-    known = host_reputation(outcomes, z, others=rows.where("host <> ''")).select("host", F.col("lower").alias("bad_lower"))
+    known = host_reputation(outcomes, z, two_label, rows.where("host <> ''")).select("host", F.col("lower").alias("bad_lower"))
     own = F.when(F.col("bad_lower") > block_above, "block").otherwise("allow")
     out = rows.join(known, "host", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", own).alias("verdict"))

@@ -167,6 +167,18 @@ def test_urls_without_rows_with_repeats_and_ties(spark):
     assert {r.page_id: r.rule for r in url_reputation.judge_urls(urls, rules).collect()} == {1: "example.org/ab", 2: "example.org/a", 3: "org/abc", 4: None}
 
 
+def test_suffixes_come_from_a_table(spark):
+    listed = spark.createDataFrame([("CO.zz",), ("co.zz",), ("zz",), (None,), ("a.b.c",)], "suffix string")
+    assert url_reputation.two_label_suffixes(listed) == ("co.zz",)
+    with pytest.raises(ValueError):
+        url_reputation.two_label_suffixes(listed, most=0)
+    urls = [f"http://x.bad.co.zz/de/{i}" for i in range(60)] + [f"http://y{i}.good{i}.co.zz/a" for i in range(9)] + ["http://z.bad.co.zz/a"]
+    rules = (("bad.co.zz", "/de/", "block"), *((f"good{i}.co.zz", "/", "allow") for i in range(9)))
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    judged = {r.page_id: r.verdict for r in url_reputation.judge_urls(pages, rules, two_label=("co.zz",)).collect()}
+    assert judged[69] == "block" and judged[0] == "block" and judged[60] == "allow"
+
+
 def test_pipeline_passages_and_packing(spark):
     import corpus_pipeline as p
 
