@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stillwater.functions.kernels import cum
-from stillwater.operators import evaluation
+from stillwater.operators import evaluation, history
 from stillwater.operators import families as f
 from stillwater.plans.features import names_of
 from stillwater.sources import stored
 
-BINS, FINE = 32, 2.0**20
+BINS, SCORES, FINE = 32, 32, 2.0**20
 _BODY = f"select id, t, {', '.join(f.accum_mean() + f.accum_var() + f.accum_exceed() + f.accum_sign() + f.accum_shape() + f.varloc())} from inn"
 FEATURES = sorted(names_of(_BODY))
 
@@ -100,12 +100,16 @@ def _bins(batch: pa.RecordBatch, column: str, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column(column).to_pylist()), np.uint8).reshape(-1, width)
 
 
-def train(rows: DataFrame, features: list[str], folds: int = 5, rounds: int = 8, depth: int = 3, rate: float = 0.2, ridge: float = 5.0, patience: int = 3, seed: int | None = None, share: float = 0.8) -> list[Booster]:
+def train(rows: DataFrame, features: list[str], folds: int = 5, rounds: int = 8, depth: int = 3, rate: float = 0.2, ridge: float = 5.0, patience: int = 3, seed: int | None = None, share: float = 0.8, objective: str = "logloss") -> list[Booster]:
     """rows(id, t, y, weight, base, fold, features...) -> a booster per fold, learnt from the other folds.
 
     base is the offset of the margin.  seed: each tree sees `share` of the series, by hash.
     A fold's model ends with the round of least weighted log loss on its own
     fold's rows; it stops when `patience` rounds were no better.
+    objective "rank": every pair of a positive and a negative row of one step
+    counts once, whatever its size, by logistic pairwise gradients against the
+    step's counts per bin of scores (a pass a round; the driver gets a row per
+    model, step and bin).  Offsets, weights and early stopping play no part.
     """
     spark = rows.sparkSession
     cuts = rows.agg(*[F.percentile_approx(F.col(c), [k / (BINS - 2) for k in range(1, BINS - 2)], 1000).alias(c) for c in features]).first()
@@ -117,24 +121,56 @@ def train(rows: DataFrame, features: list[str], folds: int = 5, rounds: int = 8,
         for b in batches:
             x = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in features], 1)
             code = shape.binned(x)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "y", "weight", "base", "fold")), pa.array([r.tobytes() for r in code], pa.binary())], names=["id", "y", "weight", "base", "fold", "bins"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "t", "y", "weight", "base", "fold")), pa.array([r.tobytes() for r in code], pa.binary())], names=["id", "t", "y", "weight", "base", "fold", "bins"])
 
     path = f"{stored.shared_dir(spark)}/models/bins-{uuid.uuid4().hex[:12]}"
-    rows.select(F.col("id").cast("long"), F.col("y").cast("int"), F.col("weight").cast("double"), F.col("base").cast("double"), F.col("fold").cast("int"), *features).mapInArrow(pack, "id long, y int, weight double, base double, fold int, bins binary").write.parquet(path)
+    rows.select(F.col("id").cast("long"), F.col("t").cast("int"), F.col("y").cast("int"), F.col("weight").cast("double"), F.col("base").cast("double"), F.col("fold").cast("int"), *features).mapInArrow(pack, "id long, t int, y int, weight double, base double, fold int, bins binary").write.parquet(path)
     binned = spark.read.parquet(path)
     trees: list[list[Tree]] = [[] for _ in range(folds)]
     best, stale = [(np.inf, 0)] * folds, [0] * folds
 
-    def sums(grown: list[Tree | None], level: int, turn: int) -> dict:
+    levels = np.log((np.arange(SCORES) + 0.5) / SCORES) - np.log(1 - (np.arange(SCORES) + 0.5) / SCORES)  # the margin in the middle of each bin of scores
+
+    def standings() -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
+        """For each model: the steps, positive and negative rows per step and bin of scores, and the mean number of rows a step."""
+
+        def partial(batches):
+            for b in batches:
+                code, y, t, fold = _bins(b, "bins", width), *(b.column(c).to_numpy() for c in ("y", "t", "fold"))
+                for m in range(folds):
+                    use = fold != m
+                    place = np.minimum((SCORES / (1 + np.exp(-Booster(edges, trees[m], features).margin(code[use])))).astype(np.int64), SCORES - 1)
+                    keys, at = np.unique(t[use].astype(np.int64) * SCORES + place, return_inverse=True)
+                    pos = np.bincount(at, y[use], len(keys)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), m, np.int32)), pa.array(keys), pa.array(pos), pa.array(np.bincount(at, minlength=len(keys)).astype(np.int64) - pos)], names=["model", "key", "pos", "neg"])
+
+        got = binned.mapInArrow(partial, "model int, key long, pos long, neg long").groupBy("model", "key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toPandas()
+        out = []
+        for m in range(folds):
+            g = got[got["model"] == m]
+            steps, row = np.unique(g["key"].to_numpy() // SCORES, return_inverse=True)
+            pos, neg = np.zeros((len(steps), SCORES)), np.zeros((len(steps), SCORES))
+            pos[row, g["key"] % SCORES], neg[row, g["key"] % SCORES] = g["pos"], g["neg"]
+            out.append((steps, pos, neg, float((pos + neg).sum() / max(1, len(steps)))))
+        return out
+
+    def pairwise(margin: np.ndarray, y: np.ndarray, t: np.ndarray, against: tuple) -> tuple[np.ndarray, np.ndarray]:
+        steps, pos, neg, mean = against
+        at = np.minimum(np.searchsorted(steps, t), max(0, len(steps) - 1))
+        lost = 1 / (1 + np.exp(np.where(y == 1, 1, -1)[:, None] * (margin[:, None] - levels)))  # how far each pair is from being won
+        many = np.where((y == 1)[:, None], neg[at], pos[at]) / mean
+        return np.where(y == 1, -1, 1) * (many * lost).sum(1), (many * lost * (1 - lost)).sum(1)
+
+    def sums(grown: list[Tree | None], level: int, turn: int, standing: list | None = None) -> dict:
         """model -> (2, nodes, features, bins) gradients and curvatures, and the loss on its own fold before this round."""
         nodes = 2**level
 
         def partial(batches):
             total, loss = np.zeros((folds, 2, nodes * width * BINS)), np.zeros((folds, 2))
             for b in batches:
-                code, y, w, base, fold, ids = _bins(b, "bins", width), *(b.column(c).to_numpy() for c in ("y", "weight", "base", "fold", "id"))
+                code, y, w, base, fold, ids, t = _bins(b, "bins", width), *(b.column(c).to_numpy() for c in ("y", "weight", "base", "fold", "id", "t"))
                 for m in range(folds):
-                    margin = base + Booster(edges, trees[m], features).margin(code)
+                    margin = (0 if objective == "rank" else base) + Booster(edges, trees[m], features).margin(code)
                     p = 1 / (1 + np.exp(-margin))
                     own = fold == m
                     loss[m] += (w[own] * -np.log(np.maximum(np.where(y[own] == 1, p[own], 1 - p[own]), 1e-12))).sum(), w[own].sum()
@@ -143,7 +179,8 @@ def train(rows: DataFrame, features: list[str], folds: int = 5, rounds: int = 8,
                         use &= (ids * 48271 + (seed + turn) * 69621 + 12345) % 2147483647 % 1000 < 1000 * share
                     at = grown[m].leaves(code[use]) if grown[m] else np.zeros(int(use.sum()), np.int64)
                     cell = ((at[:, None] * width + np.arange(width)) * BINS + code[use]).ravel()
-                    for i, v in enumerate((w[use] * (p[use] - y[use]), w[use] * p[use] * (1 - p[use]))):
+                    parts = pairwise(margin[use], y[use], t[use], standing[m]) if standing else (w[use] * (p[use] - y[use]), w[use] * p[use] * (1 - p[use]))
+                    for i, v in enumerate(parts):
                         total[m, i] += np.bincount(cell, np.repeat(v, width), total.shape[2])
             at = np.argwhere(np.abs(total).sum(1) > 0)
             cols = [at[:, 0], at[:, 1], total[at[:, 0], 0, at[:, 1]], total[at[:, 0], 1, at[:, 1]]]
@@ -164,10 +201,11 @@ def train(rows: DataFrame, features: list[str], folds: int = 5, rounds: int = 8,
 
     for turn in range(rounds):
         grown: list[Tree | None] = [None] * folds
+        standing = standings() if objective == "rank" else None
         for level in range(depth):
-            found = sums(grown, level, turn)
+            found = sums(grown, level, turn, standing)
             for m, (hist, loss) in found.items():
-                if level == 0 and loss[1] > 0:
+                if level == 0 and loss[1] > 0 and objective != "rank":
                     now = loss[0] / loss[1]
                     best[m], stale[m] = ((now, turn), 0) if now < best[m][0] - 1e-9 else (best[m], stale[m] + 1)
                 feature, cut, gain, value = (list(x) for x in ((grown[m].feature, grown[m].cut, grown[m].gain, []) if grown[m] else ([], [], [], [])))
@@ -186,7 +224,7 @@ def train(rows: DataFrame, features: list[str], folds: int = 5, rounds: int = 8,
                 trees[m].append(grown[m])
         if all(s >= patience for s in stale):
             break
-    found = sums([None] * folds, 0, rounds)
+    found = sums([None] * folds, 0, rounds) if objective != "rank" else {}
     for m, (_, loss) in found.items():
         if loss[1] > 0 and loss[0] / loss[1] >= best[m][0] - 1e-9:
             trees[m] = trees[m][: max(1, best[m][1])]
@@ -196,7 +234,7 @@ def train(rows: DataFrame, features: list[str], folds: int = 5, rounds: int = 8,
 def scored(rows: DataFrame, boosters: list[Booster], mode: str = "oof") -> DataFrame:
     """id, t, y, fold, pred.
 
-    oof: the fold's own model with the offset.  mean: the mean of all models' probabilities without it.
+    oof: the fold's own model with the offset.  rank: the fold's own model without it.  mean: the mean of all models' probabilities without it.
     fused: the probability of the fused margin.  combined: half of each of the last two.
     """
     features, fused = boosters[0].features, fuse(boosters)
@@ -205,8 +243,8 @@ def scored(rows: DataFrame, boosters: list[Booster], mode: str = "oof") -> DataF
     def run(batches):
         for b in batches:
             code = boosters[0].binned(np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in features], 1))
-            if mode == "oof":
-                fold, margin = b.column("fold").to_numpy(), b.column("base").to_numpy().astype(float).copy()
+            if mode in ("oof", "rank"):
+                fold, margin = b.column("fold").to_numpy(), b.column("base").to_numpy() * float(mode == "oof")
                 for m, booster in enumerate(boosters):
                     margin[fold == m] += booster.margin(code[fold == m])
                 pred = squash(margin)
@@ -233,10 +271,10 @@ def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TRAINED: dict[tuple, list[Booster]] = {}
 
 
-def _trained(spark: SparkSession, sf_dir: str, rows: DataFrame, seed: int | None = None) -> list[Booster]:
-    key = (spark.sparkContext.applicationId, sf_dir, seed)
+def _trained(spark: SparkSession, sf_dir: str, rows: DataFrame, seed: int | None = None, objective: str = "logloss") -> list[Booster]:
+    key = (spark.sparkContext.applicationId, sf_dir, seed, objective)
     if key not in _TRAINED:
-        _TRAINED[key] = train(rows, FEATURES, seed=seed)
+        _TRAINED[key] = train(rows, FEATURES, seed=seed, objective=objective)
     return _TRAINED[key]
 
 
@@ -246,14 +284,23 @@ def train_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(rows, _trained(spark, sf_dir, rows))
 
 
+def rank_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, t, y, fold, pred: out-of-fold scores of models that order the rows of each step."""
+    rows = frame(spark, sf_dir)
+    return scored(rows, _trained(spark, sf_dir, rows, objective="rank"), "rank")
+
+
 def ensemble_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = frame(spark, sf_dir)
     return scored(rows, _trained(spark, sf_dir, rows), "mean")
 
 
 def ensemble_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the probability models' mean and half of the ranking models' mean."""
     rows = frame(spark, sf_dir)
-    return scored(rows, _trained(spark, sf_dir, rows), "combined")
+    one = scored(rows, _trained(spark, sf_dir, rows), "mean")
+    two = scored(rows, _trained(spark, sf_dir, rows, objective="rank"), "mean").select("id", "t", F.col("pred").alias("other"))
+    return one.join(two, ["id", "t"]).select("id", "t", "y", "fold", ((F.col("pred") + F.col("other")) / 2).alias("pred"))
 
 
 def seed_bagging(spark: SparkSession, sf_dir: str, seeds: tuple[int, ...] = (777, 101)) -> DataFrame:
@@ -301,7 +348,35 @@ def postprocess_ema(spark: SparkSession, sf_dir: str, alpha: float = 0.7) -> Dat
     return lists.select("id", F.explode(F.aggregate("s", none, step)).alias("r")).select("id", "r.t", F.round("r.score", 6).alias("score"))
 
 
-QUERIES = {q.__name__: q for q in (train_oof, ensemble_mean, ensemble_combined, seed_bagging, fold_evaluation, feature_importance, postprocess_ema)}
+def history_classifier(spark: SparkSession, sf_dir: str, folds: int = 5) -> DataFrame:
+    """target, auc, base_rate, n: whether the history alone tells a break, or an early one; logistic regression, folds by hash of the series."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    more, body = history.statements()["history_features"]
+    taus = stored.run(spark, sf_dir, "select distinct id, tau_index from panel")
+    rows = stored.run(spark, sf_dir, body, more).join(taus, "id")
+    columns = [c for c in rows.columns if c not in ("id", "has_break", "tau_index")]
+    rows = rows.fillna(0.0, columns).withColumn("early_break", F.coalesce((F.col("tau_index") <= 50).cast("int"), F.lit(0)))
+    path = f"{stored.shared_dir(spark)}/models/history-{uuid.uuid4().hex[:12]}"
+    rows.withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(folds))).write.parquet(path)
+    rows, out = spark.read.parquet(path), None
+    for target in ("has_break", "early_break"):
+        oof = None
+        for k in range(folds):
+            steps = [VectorAssembler(inputCols=columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), LogisticRegression(featuresCol="scaled", labelCol=target, maxIter=50, regParam=0.01)]
+            fitted = Pipeline(stages=steps).fit(rows.where(F.col("fold") != k))
+            part = fitted.transform(rows.where(F.col("fold") == k)).select("id", F.col(target).alias("y"), vector_to_array("probability")[1].alias("s"))
+            oof = part if oof is None else oof.unionByName(part)
+        sql = f"with oof as (select 1 as t, y, s from {{oof}}), {evaluation.by_step('s', 'one', 'oof', 't', '')} select '{target}' as target, coalesce((select max(auc) from one), 0.5) as auc, avg(y) as base_rate, count(*) as n from oof"
+        one = spark.sql(sql, oof=oof)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+QUERIES = {q.__name__: q for q in (history_classifier, train_oof, rank_oof, ensemble_mean, ensemble_combined, seed_bagging, fold_evaluation, feature_importance, postprocess_ema)}
 #: The smoothing as a sum over the last steps: weights fall by 0.3 a step, so those beyond 60 steps are below 1e-31.
 ORACLE = {
     "postprocess_ema": (

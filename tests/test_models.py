@@ -47,6 +47,23 @@ def test_training_is_the_same_however_rows_are_dealt(spark):
     assert seeded[0][0].saved() == seeded[1][0].saved() != seeded[2][0].saved()
 
 
+def test_ranking_orders_the_rows_of_each_step(spark):
+    """A step's own level, which a probability model follows, says nothing here; only order inside a step does."""
+    rng = np.random.default_rng(3)
+    n = 4000
+    t, a, noise = rng.integers(1, 41, n), rng.standard_normal(n), rng.standard_normal(n)
+    y = (a + noise + (t - 20) * 0.2 > 0).astype(int)
+    rows = spark.createDataFrame([(int(k), int(t[k]), int(y[k]), 1.0, 0.0, int(k % 3), float(a[k]), float(t[k]), float(noise[k] * 0 + rng.random())) for k in range(n)], "id long, t int, y int, weight double, base double, fold int, a double, b double, c double")
+    boosters = model.train(rows, ["a", "b", "c"], folds=3, rounds=6, depth=2, objective="rank")
+    oof = model.scored(rows, boosters, "rank").toPandas()
+    won = pairs = 0.0
+    for _, g in oof.groupby("t"):
+        p, q = g.pred[g.y == 1].to_numpy(), g.pred[g.y == 0].to_numpy()
+        won, pairs = won + (p[:, None] > q).sum() + (p[:, None] == q).sum() / 2, pairs + len(p) * len(q)
+    gain = {k: sum(b.importance()[k][0] for b in boosters) for k in "abc"}
+    assert won / pairs > 0.75 and gain["a"] > 10 * max(gain["b"], gain["c"])
+
+
 def test_feature_order_and_prefixes(spark):
     rows = spark.range(1).selectExpr("id", "1 as t", "2 as b_x", "3 as a_y", "4 as b_z")
     assert features.in_order(rows, ["a_y", "b_z"]).columns == ["id", "t", "a_y", "b_z"]
