@@ -101,9 +101,11 @@ RELATIONS: dict[str, str] = {
 
 #: Regressions: Spark solves each series' normal equations from its sums (stored.py), the oracle factors them in SQL.
 SOLVED = {"ar": _X, "sar": [*_X, "xs"]}
+#: Relations that Spark computes from another one's rows, a series at a time (stored.py); the oracle joins and aggregates.
+BY_SERIES = {"season": "resid0"}
 
 #: Relations that Spark keeps as tables, each from the ones before it.
-STORED = ("panel", "fit", "resid", "ehist", "h0", "inn", "scores")
+STORED = ("panel", "season", "fit", "resid", "ehist", "h0", "inn", "scores")
 
 
 def used(sql: str) -> set[str]:
@@ -132,4 +134,4 @@ def statement(body: str, dialect: str, more: str = "", have: tuple[str, ...] = (
     return sql.replace("{pct}", "percentile" if dialect == "spark" else "quantile_cont")
 
 
-__all__ = ["HISTORY", "RELATIONS", "SOLVED", "STORED", "d", "least_squares", "needed", "statement"]
+__all__ = ["HISTORY", "BY_SERIES", "RELATIONS", "SOLVED", "STORED", "d", "least_squares", "needed", "statement"]

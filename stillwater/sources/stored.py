@@ -13,6 +13,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stillwater.functions.kernels import LONGEST
 from stillwater.sources import panels
@@ -76,11 +77,16 @@ def check(panel: DataFrame) -> None:
 
 def _resolved(spark: SparkSession, body: str, more: str, frames: dict[str, DataFrame]) -> DataFrame:
     """A statement over the panel's relations, those in `frames` given; each other one becomes a frame of its own, so the analyzer sees one at a time."""
-    names = panels.needed(f"{more} {body}", (*frames, *panels.SOLVED))
-    for name in [n for n in names if n in panels.SOLVED]:
-        names = [*panels.needed(f"select * from {name}_gram", (*frames, *panels.SOLVED)), *names]
+    stop = (*frames, *panels.SOLVED, *panels.BY_SERIES)
+    names, sources = panels.needed(f"{more} {body}", stop), {name: f"{name}_gram" for name in panels.SOLVED} | panels.BY_SERIES
+    todo = [n for n in names if n in sources and n not in frames]
+    while todo:
+        more_names = [n for n in panels.needed(f"select * from {sources[todo.pop()]}", stop) if n not in names]
+        names, todo = [*names, *more_names], [*todo, *(n for n in more_names if n in sources and n not in frames)]
     own = dict(frames)
     for name in sorted(set(names), key=list(panels.RELATIONS).index):
+        if name == "season" and name not in own:
+            own[name] = seasons(own["resid0"])
         if name in panels.SOLVED and name not in own:
             own[name] = solved(own[f"{name}_gram"], panels.SOLVED[name])
         if name not in own:
@@ -95,6 +101,32 @@ def _resolved(spark: SparkSession, body: str, more: str, frames: dict[str, DataF
     return spark.sql(sql.replace("{pct}", "percentile"), **{n: own[n] for n in names if n in direct})
 
 
+def seasons(resid: DataFrame) -> DataFrame:
+    """id, season of the series that have one: the lag whose autocorrelation is furthest from zero, the first of equals.
+
+    One row a series, its residuals as an array (a history is of bounded length);
+    series of one length are correlated together.
+    """
+    low, high = panels.SEASONS
+    lists = resid.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("tt", "r"))), lambda s: s["r"]).alias("r")).where(F.size("r") > high + 10)
+
+    def find(batches):
+        for b in batches:
+            ids, values = b.column("id").to_numpy(), b.column("r")
+            sizes = np.diff(np.asarray(values.offsets))
+            for n in np.unique(sizes):
+                at = np.flatnonzero(sizes == n)
+                x = np.stack([values[int(i)].values.to_numpy(zero_copy_only=False) for i in at])
+                x = x - x.mean(1, keepdims=True)
+                power = (x * x).sum(1)
+                rho = np.stack([(x[:, k:] * x[:, :-k]).sum(1) for k in range(low, high + 1)], 1) / np.where(power > 0, power, np.inf)[:, None]
+                best = np.abs(rho).argmax(1)
+                has = np.abs(rho)[np.arange(len(at)), best] > panels.SEASONAL_ACF
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at[has]]), pa.array((best[has] + low).astype(np.int32))], names=["id", "season"])
+
+    return lists.mapInArrow(find, "id long, season int")
+
+
 def solved(gram: DataFrame, columns: list[str]) -> DataFrame:
     """id, n, intercept, rss, b_<column>...: least squares with an intercept from each series' sums, one small system a row.
 
