@@ -182,6 +182,43 @@ def test_scales_dependence_jumps_and_bridge(series, got):
         same(got("kpss_bridge_scale"), i, "mrep_scale_w050", rolled(e * e, 50, bridge), 20)
 
 
+def test_order_patterns_l_moments_and_spectrum(series, got):
+    for i, s in series.items():
+        e, raw = s["e"], s["raw"]
+        pats = [None, None] + [tuple(np.argsort(np.argsort(e[k - 2 : k + 1], kind="stable"), kind="stable")) for k in range(2, len(e))]
+        pe, irrev = [], []
+        for k in range(len(e)):
+            own = pats[max(2, k - 49) : k + 1]
+            c = np.unique([str(p) for p in own], return_counts=True)[1] if own else np.ones(1)
+            pe.append(-(c / c.sum() * np.log(c / c.sum())).sum() / math.log(6) if len(own) >= 20 else np.nan)
+            own = pats[max(2, k - 99) : k + 1]
+            kinds = {p for p in own} | {p[::-1] for p in own}
+            irrev.append(0.5 * sum(abs(own.count(p) - own.count(p[::-1])) for p in kinds) / len(own) if len(own) >= 20 else np.nan)
+        same(got("ordinal"), i, "ord_pe_m3_w050", pe)
+        same(got("ordinal"), i, "ord_irrev_m3_w100", irrev)
+        skew = []
+        for w in rolled(raw, 50, np.sort):
+            n, k = len(w), np.arange(len(w))
+            if n < 5:
+                skew.append(np.nan)
+                continue
+            b0, b1, b2 = w.mean(), (k * w).sum() / n / (n - 1), (k * (k - 1) * w).sum() / n / (n - 1) / (n - 2)
+            skew.append((6 * b2 - 6 * b1 + b0) / (2 * b1 - b0))
+        same(got("lmoments"), i, "lmom_lskew_w050", skew, 5)
+        turn, x, slow, centre = np.exp(1j * np.pi * (np.arange(6) + 0.5) / 6), np.zeros(6, complex), np.zeros(6), []
+        for v in e:
+            x = 0.88 * x * turn + v
+            slow = 0.97 * slow + 0.03 * np.abs(x) ** 2
+            centre.append((slow / slow.sum() * (np.arange(6) + 0.5) / 6).sum())
+        same(got("spectral"), i, "spec_centroid_slow", centre, math.ceil(1 / 0.12 + 1 / 0.03))
+        up = reflected(0.5 * ((1 - 1 / 1.5) * e * e - math.log(1.5)))
+        same(got("trajectory"), i, "traj_cvar_slope", ewma(np.concatenate(([0.0], np.diff(up))), 0.1, 0.0), 5)
+        same(got("trajectory"), i, "traj_cvar_area", reflected(up - 2), 5)
+        near = [sum(e[k - j] for j in range(1, 6) if k >= j) for k in range(len(e))]
+        u = [v * n / (math.sqrt(min(max(k, 1), 5)) * s["su"]) for k, (v, n) in enumerate(zip(e, near))]
+        same(got("mismatch_score"), i, "mismatch_score_cusum_pos", reflected([0.0] + [0.3 * v - 0.045 for v in u[1:]]), 5)
+
+
 def test_calibrated_variance(series, got):
     for i, s in series.items():
         for w in (10, 50):
