@@ -75,7 +75,7 @@ def test_every_prediction_meets_its_truth(spark):
     assert len(got) == 14 and got[got.target.isna()].time_online.tolist() == [13]
 
 
-@pytest.mark.parametrize("name", ["feature_row"])
+@pytest.mark.parametrize("name", ["feature_row", "training_rows"])
 def test_the_feature_row_joins_tables_of_few_families(spark, name):
     """All families in one stage took more memory than an executor has."""
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
