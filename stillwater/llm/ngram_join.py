@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, table, written
+from .common import connected_components, forget, table, written
 from .wordhash import mix, slices, word_hashes
 
 WORDS_OF_SKETCH = 16
@@ -215,8 +215,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_a.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
 
 
-def _near(a: str, b: str, percent: int, width: int = WORDS_OF_SKETCH, name: str = "w") -> str:
-    apart = " + ".join(f"bit_count({a}.{name}{k} ^ {b}.{name}{k})" for k in range(width))
+def _near(a: str, b: str, percent: int) -> str:
+    apart = " + ".join(f"bit_count({a}.w{k} ^ {b}.w{k})" for k in range(WORDS_OF_SKETCH))
     return f"{percent} * greatest({a}.n, {b}.n) <= 100 * least({a}.n, {b}.n) and {100 + percent} * ({apart}) <= {100 - percent} * ({a}.n + {b}.n)"
 
 
@@ -256,12 +256,13 @@ def similar_documents(docs: DataFrame, percent: int = 80, shingle: int = 5, text
     apart = held.where("k > 2").join(comp, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     apart = apart.selectExpr("*", f"min(c) {whole} as lo", f"max(c) {whole} as hi").where("lo < hi").drop("lo", "hi")
     apart = written(apart, "apart")
+    forget(held)
     firsts = apart.groupBy("id").agg(*[F.min_by("key", F.xxhash64("key", F.lit(i))).alias(f"first{i}") for i in range(ORDERS)])
-    fold = [f"({' ^ '.join(f'w{k + 4 * m}' for m in range(4))}) as v{k}" for k in range(4)]
-    small = real.dropDuplicates(["id", "sig1", "sig2"]).selectExpr("id", "n", *fold)
+    small = real.dropDuplicates(["id", "sig1", "sig2"]).drop("sig1", "sig2")
     rest = written(apart.join(firsts.join(small, "id"), "id"), "apart")
+    forget(apart)
     once = " ".join(f"when x.first{i} = y.first{i} then x.key = x.first{i}" for i in range(ORDERS))
-    cross = rest.alias("x").join(rest.alias("y"), F.expr(f"x.key = y.key and x.id < y.id and x.c <> y.c and case {once} else true end and {_near('x', 'y', percent, 4, 'v')}"))
+    cross = rest.alias("x").join(rest.alias("y"), F.expr(f"x.key = y.key and x.id < y.id and x.c <> y.c and case {once} else true end and {_near('x', 'y', percent)}"))
     cross = cross.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     again = written(sifted(written(cross, "cross")), "sieve")
     if not again.isEmpty():

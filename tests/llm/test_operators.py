@@ -352,3 +352,26 @@ def test_words_that_share_a_trie_key_are_counted_apart(spark, order):
         assert (got[1].n_known, got[2].n_known) == (3, 2)
         seen, new = math.log10(1.1 / 3.4), math.log10(0.1 / 3.4)
         assert got[1].base_score == pytest.approx(3 * seen) and got[2].base_score == pytest.approx(2 * seen + 4 * new)
+
+
+def test_variants_that_do_not_link_make_few_pairs(spark, monkeypatch):
+    """Documents at a similarity of 0.7 share many keys; the whole sketch refuses their pairs where the keys meet, and a folded one did not."""
+    rng = np.random.default_rng(7)
+    base, rows = [f"w{k}" for k in rng.integers(0, 10**9, 400)], []
+    for i in range(60):
+        words = list(base)
+        for k in rng.choice(80, 7, replace=False):
+            words[5 * k + 2] = f"x{i}_{k}"
+        rows.append((i, " ".join(words)))
+    made, write = [], ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, name: made.append((name, write(df, name))) or made[-1][1])
+    got = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(396)} for _, t in rows]
+    parent = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = parent[i], parent[j]
+                parent = [min(a, b) if x in (a, b) else x for x in parent]
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(parent)) and len(set(parent)) > 40
+    assert sum(f.count() for name, f in made if name == "cross") < 100  # of 1770 pairs
