@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stillwater.plans import features, gates, model
@@ -110,3 +111,23 @@ def test_files_of_results(spark, tmp_path):
     (tmp_path / "y.json").write_text('{"a": {"z": 2}}')
     with pytest.raises(ValueError, match="unknown setting a.z"):
         sinks.read_settings(spark, f"{tmp_path}/y.json", {"a": {"b": 1}})
+
+
+def test_the_training_frame_is_made_once(spark):
+    """Cuts, bins and scores each computed all features anew."""
+    plan = model.frame(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+
+
+def test_pairs_of_columns_hold_each_columns_sums():
+    rng = np.random.default_rng(5)
+    for width in (1, 4, 5):
+        code, v = rng.integers(0, model.BINS, (500, width)).astype(np.uint8), rng.integers(0, 9, 500).astype(float)
+        total = np.stack([np.bincount(c, v, model.BINS**2) for c in model._pairs(code)]).reshape(-1, model.BINS, model.BINS)
+        assert (model._singles(total, width) == [np.bincount(code[:, k], v, model.BINS) for k in range(width)]).all()
+        tree = model.Tree([0, width - 1, 0, 0, 0, width // 2, 0], [15, 3, 9, 1, 20, 7, 30], [0.0] * 8)
+        node = np.zeros(500, int)
+        for _ in range(3):
+            node = 2 * node + 1 + (code[np.arange(500), np.array(tree.feature)[node]] > np.array(tree.cut)[node])
+        assert (tree.leaves(code) == node - 7).all()
+        assert (model._bins(pa.RecordBatch.from_arrays([model._packed(code)], names=["b"]).slice(7, 90), "b", width) == code[7:97]).all()
