@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 
@@ -81,3 +83,26 @@ def test_the_feature_row_joins_tables_of_few_families(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     groups = catalog.features._groups(catalog._families() | catalog.optional.statements("spark"))
     assert plan.count("Join") == len(groups) and "Window" not in plan and max(len(g) for g in groups) <= 4
+
+
+def test_a_group_of_families_is_joined_where_its_series_lie(spark, monkeypatch):
+    """An exchange for each family of a group made many stages; the session's settings are as before."""
+    stored, plans = catalog.features.stored, []
+    kept = stored.kept
+
+    def seen(spark, sf_dir, name, make):
+        if name.startswith("features"):
+            plans.append(make()._jdf.queryExecution().executedPlan().toString())
+        return kept(spark, sf_dir, name, make)
+
+    monkeypatch.setattr(stored, "kept", seen)
+    names = ("spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.codegen.wholeStage")
+    before, small = [spark.conf.get(k) for k in names], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        catalog.QUERIES["training_rows"](spark, SF)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert len(plans) > 1 and any("SortMergeJoin" in p for p in plans)
+    assert not any(re.search(r"Exchange hashpartitioning\(id#\d+L?, t#", p) for p in plans)
+    assert [spark.conf.get(k) for k in names] == before
