@@ -212,6 +212,17 @@ def test_op8_query_returns_the_kept_text(spark):
             assert hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256
 
 
+def test_a_long_text_of_one_byte_takes_time_in_proportion(spark):
+    """Every window is an anchor of its own; comparing them in pairs takes minutes, a set seconds."""
+    import time
+
+    docs = spark.createDataFrame([(1, "a" * 120000), (1, "a" * 120000), (2, "b" * 399), (3, "a" * 400)], "doc_id long, text string")
+    begin = time.monotonic()
+    got = suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans").collect()
+    assert time.monotonic() - begin < 90
+    assert sorted(map(tuple, got)) == [(1, 120000, 120000, 1), (1, 120000, 120000, 1), (2, 399, 0, 0), (3, 400, 400, 1)]
+
+
 def test_groups_of_heavy_edits_lose_no_link(spark):
     """Many documents of one template at similarities about the threshold, beside a passage that all of them and others hold."""
     rnd, passage = random.Random(12), " ".join(f"p{i}" for i in range(60))
