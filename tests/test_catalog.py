@@ -1,6 +1,8 @@
 import re
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from stillwater.functions import kernels as k
@@ -106,3 +108,41 @@ def test_a_group_of_families_is_joined_where_its_series_lie(spark, monkeypatch):
     assert len(plans) > 1 and any("SortMergeJoin" in p for p in plans)
     assert not any(re.search(r"Exchange hashpartitioning\(id#\d+L?, t#", p) for p in plans)
     assert [spark.conf.get(k) for k in names] == before
+
+
+def test_a_table_of_the_feature_row_has_one_row_a_series(spark, monkeypatch):
+    """Tables of features had a row a step, thirteen times the input's bytes."""
+    stored, sizes = catalog.features.stored, {}
+    kept = stored.kept
+
+    def seen(spark, sf_dir, name, make):
+        out = kept(spark, sf_dir, name, make)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(stored, "kept", seen)
+    rows = catalog.QUERIES["feature_row"](spark, SF)
+    series = rows.select("id").distinct().count()
+    made = {k: n for k, n in sizes.items() if k.startswith("features")}
+    assert made and set(made.values()) == {series} and rows.count() > series
+
+
+def test_the_feature_row_of_series_of_any_length_equals_the_oracle(spark, same, tmp_path):
+    """One online step, steps beyond every window, equal values for a while, a spike, a history without an online part."""
+    rng, rows = np.random.default_rng(4), []
+    for key, n in enumerate([60, 300, 301, 307, 326, 700, 450, 420, 500]):
+        x = rng.integers(1, 51, n).astype(float)
+        if key == 6:
+            x[320:350] = 7
+        if key == 7:
+            x[:] = np.tile([3.0, 9.0, 4.0], n)[:n] + rng.integers(0, 2, n)
+        if key == 8:
+            x[350] = 1e6
+        rows += [(key, k, 1, 1, v) for k, v in enumerate(x)]
+    frame = pd.DataFrame(rows, columns=["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"])
+    frame.assign(l_extendedprice=0.0, l_discount=0.0, l_tax=0.0, l_returnflag="N", l_linestatus="O", l_shipdate=20000101).to_parquet(tmp_path / "lineitem.parquet")
+    got = catalog.QUERIES["feature_row"](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from read_parquet('{tmp_path}/lineitem.parquet')")
+    assert len(got) == 1 + 7 + 26 + 400 + 150 + 120 + 200
+    same(got, con.execute(catalog.SQL["feature_row"]).fetchdf())
