@@ -146,3 +146,17 @@ def test_the_feature_row_of_series_of_any_length_equals_the_oracle(spark, same,
     con.execute(f"create view lineitem as select * from read_parquet('{tmp_path}/lineitem.parquet')")
     assert len(got) == 1 + 7 + 26 + 400 + 150 + 120 + 200
     same(got, con.execute(catalog.SQL["feature_row"]).fetchdf())
+
+
+def test_steps_that_thinning_drops_are_not_handed_over():
+    """Every step went through the joins and was dropped behind them."""
+    import pyarrow as pa
+
+    features, sizes = catalog.features, [1, 450, 120]
+    steps = [[{"t": k + 1, **{c: float(k % 7) for c in features.STEPS}} for k in range(n)] for n in sizes]
+    series = {"id": [4, 5, 6], "n": sizes, "tau_index": pa.array([None, 40, 41], pa.int32()), "steps": steps, "history": [[0.5, -0.5]] * 3} | {c: [0.3] * 3 for c in features.NUMBERS}
+    compute, _ = features._computed({"varloc": catalog._families()["varloc"]}, features.training_rows({})[1].split(" s  ")[1])
+    rows = pd.concat([b.to_pandas() for b in compute([pa.RecordBatch.from_pydict(series)])])
+    want = {(i, t) for i, n in zip((4, 5, 6), sizes, strict=True) for t in range(1, n + 1) if t <= 100 or t <= 400 and t % 2 == 0 or t % 4 == 0}
+    assert set(zip(rows.id, rows.t, strict=True)) == want and len(rows) == len(want)
+    assert rows[rows.id == 5].set_index("t").y.loc[[40, 42]].tolist() == [0, 1] and not rows[rows.id == 4].y.any()
